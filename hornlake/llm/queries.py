@@ -17,8 +17,53 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.llm import language_id as L
+
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = L.fit_dictionaries(docs, ~L.held_out())
+    rows = docs.select("doc_id", "text", L.held_out().alias("held_out"))
+    return L.identify(rows, dictionaries).drop("text")
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.llm.source_mix import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_language_id": op3_language_id,
+    "op5_source_mix": op5_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_source_mix": r"""
+        WITH d AS (
+          SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                 md5(coalesce(doc_id::VARCHAR, '')) AS key
+          FROM documents),
+        s AS (
+          SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
+                 ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight
+          FROM d GROUP BY source),
+        r AS (
+          SELECT *, cap / weight AS ratio,
+                 ((sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::BIGINT
+                  / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::BIGINT) AS level
+          FROM s WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        free AS (SELECT level FROM r WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
+        t AS (
+          SELECT r.source, r.source_size,
+                 CASE WHEN r.ratio < free.level THEN r.cap::DOUBLE ELSE r.weight * free.level END AS target
+          FROM r CROSS JOIN free),
+        p AS (
+          SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS line,
+                 (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CASE WHEN source_size = 0 THEN 0
+                    ELSE (line // source_size) * size + greatest(0, least(start + size, line % source_size) - start) END::BIGINT AS taken
+        FROM p""",
+}
