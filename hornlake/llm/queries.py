@@ -47,11 +47,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_language_id": op3_language_id,
     "op5_source_mix": op5_source_mix,
     "op6_decontaminate": op6_decontaminate,
+    "op7_licenses": op7_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
