@@ -53,12 +53,27 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "spans")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.llm.pii import KINDS, find_pii, fit
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, fit(docs))
+    joined = "concat_ws(',', transform({}, s -> concat_ws(':', s.kind, s.start, s.end)))"
+    return found.select(
+        "doc_id",
+        *(F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS),
+        F.sha2(F.expr(joined.format("filter(spans, s -> s.base)")), 256).alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_language_id": op3_language_id,
     "op5_source_mix": op5_source_mix,
     "op6_decontaminate": op6_decontaminate,
     "op7_licenses": op7_licenses,
+    "op8_pii": op8_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
