@@ -11,7 +11,8 @@ documents in a shuffled order, again and again until its target is met.  A docum
 
 Scale: the schedule has 2**slot_bits rows whatever the data, and one row for each source.  Documents are narrow rows
 (id, size, source, shuffle key).  Positions come from two-level sums over `buckets` ranges of the shuffle key, so
-a source with a third of all rows spreads over all tasks.  The shuffle key is a digest of the id, so reruns agree.
+a source with a third of all rows spreads over all tasks.  Texts are read once: the narrow rows and the schedule are
+written to the shared folder, and every later step starts from them.  The shuffle key is a digest of the id, so reruns agree.
 
 Defined results: null and empty texts have size 0 and take nothing; null is a source of its own, after all others;
 a total of 0 gives targets of 0.  Rows with equal ids are separate documents.
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hornlake.llm.shared import prepare, settled
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,12 +89,18 @@ def schedule(goals: DataFrame, *, slot_bits: int = 16, group_bits: int = 8) -> D
     return ranked.select("source", "slot", "rank", "block", (F.col("rank") * F.col("block")).alias("from_word"), to.alias("to_word")).filter("to_word > from_word")
 
 
-def positions(docs: DataFrame, *, buckets: int = 256) -> DataFrame:
-    """Adds `start`, the document's first word on its source's line: sizes summed in the order of (key, doc_id, size)."""
+def positions(docs: DataFrame, per_source: DataFrame, *, buckets: int = 256) -> DataFrame:
+    """Adds `start`, the document's first word on its source's line: sizes summed in the order of (key, doc_id, size).
+
+    What `per_source` has of a source comes along with the sums of its buckets, so that documents are joined by
+    source and bucket only and a large source spreads.
+    """
     order = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
     hashed = docs.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32)))
     sums = hashed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    bases = sums.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), (F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")).alias("base"))
+    bases = sums.withColumn("base", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")).drop("bucket_size")
+    bases = bases.join(per_source.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    bases = bases.withColumnRenamed("source", "source_").withColumnRenamed("bucket", "bucket_")
     inside = hashed.withColumn("within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     return (
         inside.join(bases, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
@@ -102,6 +111,7 @@ def positions(docs: DataFrame, *, buckets: int = 256) -> DataFrame:
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), slot_bits: int = 16, buckets: int = 256) -> DataFrame:
     """id, size, source_size, target, taken of every document, in words."""
+    prepare(docs.sparkSession)
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -109,15 +119,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
     )
     # Every row stands for itself, so that rows with equal ids stay apart; the count is per file split and stable on a rerun.
-    narrow = narrow.withColumn("row", F.monotonically_increasing_id())
+    narrow = settled(narrow.withColumn("row", F.monotonically_increasing_id()), "sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sizes, max_repeats=max_repeats, weights=weights)
-    slots = schedule(goals, slot_bits=slot_bits)
+    slots = settled(schedule(goals, slot_bits=slot_bits), "slots")
     lines = slots.groupBy("source").agg(F.first("block").alias("block"), F.max("to_word").alias("line"))
     per_source = goals.join(lines.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")), "left").select(
-        F.col("source").alias("source_"), "source_size", "target", "block", F.coalesce("line", F.lit(0)).alias("line")
+        "source", "source_size", "target", "block", F.coalesce("line", F.lit(0)).alias("line")
     )
-    placed = positions(narrow, buckets=buckets).join(per_source, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    placed = positions(narrow, per_source, buckets=buckets)
     # The n-th time round, a document covers [start + n * source_size, + size) of its source's line, up to the line's end.
     rounds = F.expr(f"filter(sequence(0L, {max_repeats}L), n -> size > 0 and start + n * source_size < line)")
     touched = (
