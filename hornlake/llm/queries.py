@@ -73,6 +73,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_language_id": op3_language_id,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_licenses": op7_licenses,
     "op8_pii": op8_pii,
+    "op9_substrings": op9_substrings,
     "op10_minhash": op10_minhash,
 }
 
