@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from hornlake.llm.components import components
 from hornlake.llm.shared import discard, prepare, settled
+from hornlake.llm.streams import whole_groups
 from hornlake.llm.words import SPACED, Words, mix, slices, words_of
 
 HASHES, CHUNKS, DISTANCE = 64, 13, 25
@@ -126,32 +127,16 @@ def _across(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, signs: np.nda
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Near pairs of each unit; rows (key, lo, hi, side, id, c, sig) come sorted by unit."""
 
-    def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, lo, hi, side, ids, comps = (rows.column(k).to_numpy() for k in range(6))
+    for rows, bounds in whole_groups(batches, 3):
+        _, lo, hi, side, ids, comps = (rows.column(k).to_numpy() for k in range(6))
         signs = _signatures(rows.column(6))
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+        for a, b in bounds:
             if b - a > 1:
                 out += _across(ids[a:b], comps[a:b], side[a:b], signs[a:b], lo[a] == hi[a])
-        a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+        pairs = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held = pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks() if held is not None else pa.Table.from_batches([batch])
-        last = [held.column(k)[-1].as_py() for k in range(3)]
-        same = np.logical_and.reduce([held.column(k).to_numpy() == v for k, v in enumerate(last)])
-        first = len(same) - int(same[::-1].argmin()) if not same.all() else 0
-        if first:
-            yield from done(held.slice(0, first))
-            held = held.slice(first).combine_chunks()
-    if held is not None:
-        yield from done(held)
-
 
 def _confirmed(n: int, percent: int):
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,9 +79,27 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.llm import warc
+    from hornlake.llm.shared import scratch, settled
+
+    pages, path = table(spark, sf_dir, "pages"), scratch(spark, "archive")
+    warc.write_archive(pages, path)
+    records = settled(warc.read_records(spark, path, payload=False), "records")
+    return warc.page_captures(warc.assemble(records))
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
+    "op4_embeddings": op4_embeddings,
     "op5_source_mix": op5_source_mix,
     "op6_decontaminate": op6_decontaminate,
     "op7_licenses": op7_licenses,
@@ -137,4 +155,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op2_warc": """
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM m""",
 }
