@@ -1,15 +1,17 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
 A vector's dimensions are split into blocks, each with a few random unit directions; a filter direction is one
-choice from every block, scaled to length 1: a random product code.  A vector is entered under every direction that
-it exceeds a threshold for; these are list-decoded block by block, dropping a beginning as soon as the best rest
-cannot lift it over the threshold.  The threshold is the vector's own: the angle to its nearest direction plus the
-largest angle of a link.  Of two vectors within that angle, the nearest direction of the one that is nearer to its
-own lies within the other's threshold, so every pair to be linked shares a filter, without exception.
-
-Vectors of one label, dimension and filter are compared by matrix products, in blocks of bounded size, in double
-precision.  A pair is counted in the smallest filter that it shares.  Equal vectors of a label are one class with a
-weight.  Of a group's links only the counts and a forest leave the task, so groups of near copies make no pairs.
+choice from every block, scaled to length 1: a random product code.  A vector is stored under its nearest direction
+and looks up all directions that it exceeds a threshold for, list-decoded block by block: a beginning is dropped as
+soon as the best rest cannot lift it over the threshold.  The threshold is the vector's own: the angle to its nearest
+direction plus the largest angle of a link.  Of two vectors within that angle, the one that is nearer to its nearest
+direction has that direction within the other's threshold, so every pair to be linked is found, without exception,
+and exactly once: where the nearer one (of equal ones that with the smaller key) is stored.
+
+A row is shuffled by label and the first half of the direction's code; it carries the second halves.  Stored vectors
+of such a group are dealt into blocks of bounded size; lookups stream past each block.  They are compared by matrix
+products in double precision.  Equal vectors of a label are one class with a weight.  Only counts of links and a
+forest of links leave a task, so groups of near copies make no pairs.
 
 Defined results: vectors that are null, zero or have null or non-finite components, and rows without label or id,
 link with nothing; a row without id has a null component and is kept.  Vectors of different dimensions never link.
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 
 from hornlake.llm.components import components, forest
 from hornlake.llm.shared import discard, prepare, settled
-from hornlake.llm.streams import whole_groups
 
 BLOCK = 2048
 
@@ -52,12 +53,15 @@ def unit_vectors(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def list_decode(x: np.ndarray, bits: int, angle: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and filters of all directions within the rows' thresholds, by row and filter."""
+def list_decode(x: np.ndarray, bits: int, angle: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's angle to its nearest direction and that direction's code; rows and codes of all directions within the thresholds."""
     parts = codebook(x.shape[1], bits)
     scores = [x[:, dims] @ c.T for dims, c in parts]
     best = [s.max(axis=1) for s in scores]
     nearest = np.arccos(np.clip(sum(best), -1, 1))
+    own = np.zeros(len(x), np.int64)
+    for s in scores:
+        own = own * s.shape[1] + s.argmax(axis=1)
     least = np.cos(np.minimum(nearest + angle, math.pi)) - 1e-9
     row, code, got = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
     for k, s in enumerate(scores):
@@ -65,80 +69,94 @@ def list_decode(x: np.ndarray, bits: int, angle: float) -> tuple[np.ndarray, np.
         sums = got[:, None] + s[row]
         i, j = np.nonzero(sums >= (least - rest)[row][:, None])
         row, code, got = row[i], code[i] * s.shape[1] + j, sums[i, j]
-    return row, code
+    return nearest, own, row, code
+
+
+def second_half(dim: int, bits: int) -> int:
+    """How many codes the second half of the blocks has."""
+    parts = codebook(dim, bits)
+    return math.prod(len(c) for _, c in parts[(len(parts) + 1) // 2 :])
+
 
+_ROW = "label long, dim long, half long, role int, ck long, rep long, cnt long, beta double, codes array<bigint>, v "
 
-def _filters(bits: int, angle: float, full: bool):
-    def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(ck, rep, cnt, label, dim, v) -> a row for each filter; `full` rows carry the vector and all its filters."""
+
+def _entries(bits: int, angle: float):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(ck, rep, cnt, label, dim, v) -> for each vector the row it is stored in (role 0) and its lookups (role 1)."""
         for batch in batches:
             dims = batch.column(4).to_numpy()
             for dim in np.unique(dims).tolist():
                 mine = batch.filter(pa.array(dims == dim))
-                for lo in range(0, mine.num_rows, 1000):
-                    rows = mine.slice(lo, 1000)
-                    row, code = list_decode(unit_vectors(rows.column(5), dim), bits, angle)
-                    at = pa.array(row)
-                    head = [rows.column(3).take(at), rows.column(4).take(at), pa.array(code)]
-                    if not full:
-                        yield pa.RecordBatch.from_arrays(head, names=["label", "dim", "f"])
-                        continue
-                    cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
-                    own = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(code))
-                    rest = [rows.column(0).take(at), rows.column(1).take(at), rows.column(2).take(at), own.take(at), rows.column(5).take(at)]
-                    yield pa.RecordBatch.from_arrays([*head, *rest], names=["label", "dim", "f", "ck", "rep", "cnt", "own", "v"])
-
-    return filters
-
-
-def _first_shared(own: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest filter of each pair of rows."""
-    width = max(map(len, own))
-    padded = np.full((len(own), width), -1, dtype=np.int64)
-    for row, x in zip(padded, own, strict=True):
-        row[: len(x)] = x
-    out = np.empty(len(i), np.int64)
-    step = max(1, (1 << 22) // width**2)
-    for lo in range(0, len(i), step):
-        a, b = padded[i[lo : lo + step]], padded[j[lo : lo + step]]
-        shared = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a >= 0)
-        out[lo : lo + step] = np.where(shared, a, np.iinfo(np.int64).max).min(axis=1)
-    return out
+                cut = second_half(dim, bits)
+                for lo in range(0, mine.num_rows, 500):
+                    rows = mine.slice(lo, 500)
+                    beta, own, row, code = list_decode(unit_vectors(rows.column(5), dim), bits, angle)
+                    order = np.lexsort((code, row))
+                    row, code = row[order], code[order]
+                    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] // cut != code[:-1] // cut)]))
+                    n = rows.num_rows
+                    at = np.concatenate([np.arange(n), row[new]])
+                    lists = np.concatenate([np.arange(n), n + new, [n + len(row)]]).astype(np.int32)
+                    codes = pa.ListArray.from_arrays(pa.array(lists), pa.array(np.concatenate([own, code]) % cut))
+                    take = pa.array(at)
+                    head = [rows.column(3).take(take), rows.column(4).take(take), pa.array(np.concatenate([own, code[new]]) // cut), pa.array((np.arange(len(at)) >= n).astype(np.int32))]
+                    rest = [rows.column(k).take(take) for k in (0, 1, 2)]
+                    yield pa.RecordBatch.from_arrays([*head, *rest, pa.array(beta[at]), codes, rows.column(5).take(take)], names=["label", "dim", "half", "role", "ck", "rep", "cnt", "beta", "codes", "v"])
+
+    return entries
 
 
 def _linked(cosine: float):
+    def compare(stored: pa.Table, asked: pa.Table) -> tuple[list[np.ndarray], ...]:
+        dim = asked.column("dim")[0].as_py()
+        vectors = [unit_vectors(t.column("v").combine_chunks(), dim) for t in (stored, asked)]
+        (ck, rep, cnt, beta), (ck_, rep_, cnt_, beta_) = ([t.column(c).to_numpy() for c in ("ck", "rep", "cnt", "beta")] for t in (stored, asked))
+        code = stored.column("codes").combine_chunks().flatten().to_numpy()
+        lists = asked.column("codes").combine_chunks()
+        who = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        code_ = lists.flatten().to_numpy()
+        links, counts = [], []
+        for c in np.unique(code).tolist():
+            x, y = np.flatnonzero(code == c), who[code_ == c]
+            if not len(y):
+                continue
+            nearer = (beta[x][:, None] < beta_[y][None, :]) | ((beta[x][:, None] == beta_[y][None, :]) & (ck[x][:, None] < ck_[y][None, :]))
+            i, j = np.nonzero((vectors[0][x] @ vectors[1][y].T >= cosine) & nearer)
+            if len(i):
+                i, j = x[i], y[j]
+                links.append(forest(rep[i], rep_[j]))
+                counts += [(ck[i], cnt_[j]), (ck_[j], cnt[i])]
+        return links, counts
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (label, dim, f, lo, hi, side, ck, rep, cnt, own, v), sorted by unit -> (ck, n) and links (a, b)."""
-        for rows, bounds in whole_groups(batches, 5):
-            _, dim, f, lo, hi, side, ck, rep, cnt = (rows.column(k).to_numpy() for k in range(9))
-            out_ck, out_n, out_a, out_b = [], [], [], []
-            for a, b in bounds:
-                if b - a < 2:
-                    continue
-                v = rows.column(10).slice(a, b - a).combine_chunks()
-                x = unit_vectors(v, int(dim[a]))
-                near = np.triu(x @ x.T >= cosine, 1)
-                if lo[a] != hi[a]:
-                    near &= side[a:b][:, None] != side[a:b][None, :]
-                i, j = np.nonzero(near)
-                if not len(i):
-                    continue
-                p, q = forest(rep[a:b][i], rep[a:b][j])
-                out_a.append(p)
-                out_b.append(q)
-                own = [np.asarray(o) for o in rows.column(9).slice(a, b - a).to_pylist()]
-                here = _first_shared(own, i, j) == f[a]
-                i, j = i[here], j[here]
-                n = np.bincount(i, weights=cnt[a:b][j], minlength=b - a) + np.bincount(j, weights=cnt[a:b][i], minlength=b - a)
-                some = np.flatnonzero(n)
-                out_ck.append(ck[a:b][some])
-                out_n.append(n[some].astype(np.int64))
-            if out_a:
-                links, counts = np.concatenate(out_a), np.concatenate(out_ck)
-                none = pa.nulls(len(links), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(links), pa.array(np.concatenate(out_b))], names=["ck", "n", "a", "b"])
-                none = pa.nulls(len(counts), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(counts), pa.array(np.concatenate(out_n)), none, none], names=["ck", "n", "a", "b"])
+        """Rows sorted by label, dim, half, block and role -> (ck, n) and links (a, b)."""
+        unit, stored = None, None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            keys = [rows.column(c).to_numpy() for c in ("label", "dim", "half", "block", "role")]
+            change = np.logical_or.reduce([k[1:] != k[:-1] for k in keys]) if batch.num_rows else np.zeros(0, bool)
+            at = (np.flatnonzero(change) + 1).tolist()
+            links, counts = [], []
+            for a, b in zip([0, *at], [*at, batch.num_rows], strict=True) if batch.num_rows else ():
+                part, here = rows.slice(a, b - a).combine_chunks(), tuple(k[a] for k in keys[:4])
+                if here != unit:
+                    unit, stored = here, None
+                if keys[4][a] == 0:
+                    stored = part if stored is None else pa.concat_tables([stored, part]).combine_chunks()
+                elif stored is not None:
+                    for lo in range(0, len(part), BLOCK):
+                        more = compare(stored, part.slice(lo, BLOCK))
+                        links += more[0]
+                        counts += more[1]
+            if links:
+                a, b = forest(*(np.concatenate([x[k] for x in links]) for k in (0, 1)))
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(a), pa.array(b)], names=["ck", "n", "a", "b"])
+                ck, which = np.unique(np.concatenate([x for x, _ in counts]), return_inverse=True)
+                n = np.bincount(which, weights=np.concatenate([w for _, w in counts])).astype(np.int64)
+                none = pa.nulls(len(ck), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ck), pa.array(n), none, none], names=["ck", "n", "a", "b"])
 
     return linked
 
@@ -153,24 +171,22 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rows = rows.withColumn("ck", F.when(F.col("fine"), F.xxhash64("label", "v")))
     classes = rows.filter("fine").groupBy("ck").agg(F.min("id").alias("rep"), F.count("*").alias("cnt"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = settled(classes.select("ck", "rep", "cnt", "label", F.size("v").cast("long").alias("dim"), "v"), "vectors")
-    # The more vectors, the more directions: groups stay small.
-    bits = min(24, max(6, int(classes.count()).bit_length() - 5))
-
-    hot = classes.mapInArrow(_filters(bits, angle, False), "label long, dim long, f long").groupBy("label", "dim", "f").agg(F.count("*").alias("n"))
-    hot = settled(hot.filter(F.col("n") > BLOCK).select("label", "dim", "f", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
+    # The more vectors, the more directions.
+    bits = min(16, max(6, int(classes.count()).bit_length() // 2))
     element = classes.schema["v"].dataType.simpleString()
-    members = classes.mapInArrow(_filters(bits, angle, True), f"label long, dim long, f long, ck long, rep long, cnt long, own array<bigint>, v {element}")
-    members = members.join(hot, ["label", "dim", "f"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = members.withColumn("side", F.pmod(F.col("ck"), F.col("blocks")).cast("long")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
-    units = members.select("label", "dim", "f", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "ck", "rep", "cnt", "own", "v")
-    units = units.repartition("label", "dim", "f", "lo", "hi").sortWithinPartitions("label", "dim", "f", "lo", "hi")
+    entries = classes.mapInArrow(_entries(bits, angle), _ROW + element)
+    groups = ["label", "dim", "half"]
+    blocks = settled(entries.filter("role = 0").groupBy(*groups).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    # A group without a stored vector needs no lookups; a lookup goes to each block, a stored vector to one.
+    dealt = entries.join(blocks, groups).withColumn("block", F.explode(F.expr("if(role = 0, array(cast(pmod(ck, blocks) as int)), sequence(0, blocks - 1))"))).drop("blocks")
+    units = dealt.repartition(*groups, "block").sortWithinPartitions(*groups, "block", "role")
     found = settled(units.mapInArrow(_linked(cosine), "ck long, n long, a long, b long"), "found")
 
     comps = components(found.filter("a is not null").select("a", "b").distinct())
     counts = found.filter("ck is not null").groupBy(F.col("ck").alias("ck_")).agg(F.sum("n").alias("n"))
     placed = classes.select("ck", "rep", "cnt").join(counts, F.col("ck") == F.col("ck_"), "left").join(comps, F.col("rep") == F.col("node"), "left")
     placed = settled(placed.select(F.col("ck").alias("ck_"), (F.col("cnt") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "placed")
-    discard(classes, hot, found)
+    discard(classes, blocks, found)
     out = rows.select("id", "ck").join(placed, F.col("ck") == F.col("ck_"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
