@@ -9,8 +9,10 @@ chunk is entered once for each position that may be wrong, under the hash of the
 Whole classes of equal sets are represented by one document throughout; only the final join goes back to all rows.
 Within a bucket, candidates are first its smallest document against each other (linear); links confirmed on full
 sets give components.  Buckets whose documents are not yet in one component then compare all their pairs across
-components by signature, in blocks of bounded size, and the near ones are confirmed too.  So every pair within the
-distance is either connected or confirmed or refuted, and a large group of near copies never makes all its pairs.
+components by signature, in blocks of bounded size; what leaves a task is a forest of the near ones.  Its trees are
+families.  A family's documents, with their texts, are dealt into blocks of bounded number and bytes, and each pair
+of blocks is confirmed on full sets in one task, which again returns a forest.  So every pair within the distance is
+either connected or confirmed or refuted, and a large group of near copies never makes all its pairs.
 
 At similarity 0.85 a signature has 9.6 errors on average, deviation 2.9; more than the 25 allowed happen to about one
 pair in a million, fewer above 0.85.
@@ -29,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornlake.llm.components import components
+from hornlake.llm.components import components, forest
 from hornlake.llm.shared import discard, prepare, settled
 from hornlake.llm.streams import whole_groups
-from hornlake.llm.words import SPACED, Words, mix, slices, words_of
+from hornlake.llm.words import SPACED, Words, mix, slices, text_arrays, words_of
 
 HASHES, CHUNKS, DISTANCE = 64, 13, 25
 BLOCK = 2048
+#: Documents and bytes of text in a block of a family; columns of a product.
+FAMILY, FAMILY_BYTES, COLUMNS = 768, 4 << 20, 8192
 
 _RNG = np.random.default_rng(77)
 _MUL = (_RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -110,32 +114,101 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, signs: np.ndarray, same_block: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Near pairs of one unit across components; of two blocks only pairs from both."""
     n = len(ids)
+    columns = [np.ascontiguousarray(p) for p in signs.T] if n > 48 else []
     step = max(1, (1 << 18) // max(1, n))
     for i in range(0, n, step):
         rows = slice(i, i + step)
-        ok = (comps[rows, None] != comps[None, :]) & (ids[rows, None] < ids[None, :])
+        ok = (comps[rows, None] != comps[None, :]) & (ids[rows, None] < ids[None, :])  # each pair once
         if not same_block:
             ok &= sides[rows, None] != sides[None, :]
-        x, y = np.nonzero(ok)
-        if len(x):
-            for j in range(0, len(x), 1 << 16):
-                xs, ys = x[j : j + (1 << 16)] + i, y[j : j + (1 << 16)]
-                near = (signs[xs] != signs[ys]).sum(axis=1) <= DISTANCE
-                yield ids[xs[near]], ids[ys[near]]
+        if n > 48:  # position by position over the whole block
+            errors = np.zeros(ok.shape, np.uint8)
+            for p in columns:
+                errors += p[rows, None] != p[None, :]
+            x, y = np.nonzero(ok & (errors <= DISTANCE))
+            yield ids[x + i], ids[y]
+        else:
+            x, y = np.nonzero(ok)
+            near = (signs[x + i] != signs[y]).sum(axis=1) <= DISTANCE
+            yield ids[x[near] + i], ids[y[near]]
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of each unit; rows (key, lo, hi, side, id, c, sig) come sorted by unit."""
-
+    """A forest of the near pairs of each unit; rows (key, lo, hi, side, id, c, sig) come sorted by unit."""
     for rows, bounds in whole_groups(batches, 3):
         _, lo, hi, side, ids, comps = (rows.column(k).to_numpy() for k in range(6))
         signs = _signatures(rows.column(6))
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for a, b in bounds:
             if b - a > 1:
-                out += _across(ids[a:b], comps[a:b], side[a:b], signs[a:b], lo[a] == hi[a])
-        pairs = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                pairs = list(_across(ids[a:b], comps[a:b], side[a:b], signs[a:b], lo[a] == hi[a]))
+                out += [forest(*(np.concatenate([p[k] for p in pairs]) for k in (0, 1)))] if b - a > 48 else pairs
+        x, y = forest(*(np.concatenate([p[k] for p in out]) for k in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+
+def _similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, comps: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links among the pairs (i, j) of sets, leaving out such as others connect."""
+    size = np.array([len(x) for x in sets])
+    fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+    i, j = i[fits], j[fits]
+    if not len(i):
+        return i, j
+    one_by_one = 5e-8 * float((size[i] + size[j]).sum()) + 1e-5 * len(i)
+    by_product = float(size.sum()) / COLUMNS * 2 * len(sets) ** 2 * COLUMNS / 2e10
+    if one_by_one > by_product:
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for first in range(0, int(column[-1]) + 1, COLUMNS):
+            part = slice(*np.searchsorted(column, [first, first + COLUMNS]))
+            has = np.zeros((len(sets), COLUMNS), np.float32)
+            has[row[part], column[part] - first] = 1
+            common += has @ has.T
+        both = common[i, j].astype(np.int64)
+        ok = 100 * both >= percent * (size[i] + size[j] - both)
+        return i[ok], j[ok]
+    parent = {c: c for c in comps.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    found = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = root(int(comps[x])), root(int(comps[y]))
+        if a != b:
+            both = size[x] + size[y] - len(np.union1d(sets[x], sets[y]))
+            if 100 * both >= percent * (size[x] + size[y] - both):
+                parent[a] = b
+                found.append((x, y))
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _families(n: int, percent: int):
+    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A forest of each unit's links; rows (fam, lo, hi, side, id, c, sig, text) come sorted by unit."""
+        for rows, bounds in whole_groups(batches, 3):
+            _, lo, hi, side, ids, comps = (rows.column(k).to_numpy() for k in range(6))
+            signs = _signatures(rows.column(6))
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for a, b in bounds:
+                own, comp = ids[a:b], comps[a:b]
+                pairs = list(_across(np.arange(b - a), comp, side[a:b], signs[a:b], lo[a] == hi[a]))
+                i, j = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
+                if len(i):
+                    sets = list(shingle_sets(Words(*text_arrays(rows.column(7).slice(a, b - a).combine_chunks()), SPACED, lower=True), n))
+                    i, j = _similar(sets, i, j, comp, percent)
+                    out.append((own[i], own[j]))
+            x, y = forest(*(np.concatenate([p[k] for p in out]) for k in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return families
 
 
 def _confirmed(n: int, percent: int):
@@ -198,14 +271,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "c")
     units = members.join(signed.select("id", "sig"), "id").select("key", "lo", "hi", "side", "id", "c", "sig")
     units = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    rest = units.mapInArrow(_units, "a long, b long").distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = settled(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    links = first.union(_links(rest, docs, shingle, percent)) if not rest.isEmpty() else first
-
-    final = components(links) if links is not first else comps
+    near = settled(units.mapInArrow(_units, "a long, b long").distinct(), "near")
+    final, links = comps, first
+    if not near.isEmpty():
+        trees = components(near)
+        families = settled(trees.select(F.col("node").alias("id"), F.col("component").alias("fam")).union(trees.select("component", "component").distinct()), "families")
+        members = families.join(signed, "id").join(docs, "id").withColumn("bytes", F.octet_length("text"))
+        members = settled(members, "members")
+        sizes = members.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / FAMILY), F.ceil(F.sum("bytes") / FAMILY_BYTES)).cast("int").alias("blocks"))
+        dealt = members.join(settled(sizes, "sizes"), "fam").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("fam", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "c", "sig", "text")
+        dealt = dealt.repartition("fam", "lo", "hi").sortWithinPartitions("fam", "lo", "hi", "id")
+        links = first.union(dealt.mapInArrow(_families(shingle, percent), "a long, b long"))
+        final = components(links)
+        discard(members, families)
     placed = settled(classes.join(final, classes["rep"] == final["node"], "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id")), "placed")
-    discard(signs, signed, mixed, tested, rest)
+    discard(signs, signed, mixed, tested, near)
     named = placed.select(*(F.col(x).alias(f"{x}_") for x in ("h1", "h2", "n")), "component_id")
     rows = sketch.select("id", "n", "h1", "h2").join(named, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")) & (F.col("n") == F.col("n_")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", "id")
