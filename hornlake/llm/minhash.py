@@ -2,9 +2,9 @@
 
 A document's set holds the hashes of its distinct word shingles.  Its signature has `HASHES` positions of 16 bits,
 the low bits of as many minimum hashes; two sets of similarity s differ at each position with probability about 1 - s.
-Pairs whose signatures differ at up to `distance` positions are found without exception: the positions are split
-into `CHUNKS` chunks, so by the pigeonhole principle some chunk has at most distance // CHUNKS = 1 error, and each
-chunk is entered once for each position that may be wrong, under the hash of the others.
+Pairs whose signatures differ at up to `allowed(percent)` positions are found without exception: the positions are
+split into chunks, so many that by the pigeonhole principle one of them has at most one error, and each chunk is
+entered once for each position that may be wrong, under the hash of the others.
 
 Whole classes of equal sets are represented by one document throughout; only the final join goes back to all rows.
 Within a bucket, candidates are first its smallest document against each other (linear); links confirmed on full
@@ -14,8 +14,8 @@ families.  A family's documents, with their texts, are dealt into blocks of boun
 of blocks is confirmed on full sets in one task, which again returns a forest.  So every pair within the distance is
 either connected or confirmed or refuted, and a large group of near copies never makes all its pairs.
 
-At similarity 0.85 a signature has 9.6 errors on average, deviation 2.9; more than the 25 allowed happen to about one
-pair in a million, fewer above 0.85.
+The allowed distance is 4.75 deviations above the mean at the least similarity (24 of 64 positions at 0.85), which
+about one pair in a million at that similarity exceeds, and fewer above it.
 
 Defined results: null text and text without words has an empty set, linked with nothing; fewer words than a shingle
 make one shingle of all.  Rows with a null id are kept, with themselves (null) as component.  Rows with equal ids are
@@ -24,6 +24,7 @@ each judged by their own text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from hornlake.llm.shared import discard, prepare, settled
 from hornlake.llm.streams import whole_groups
 from hornlake.llm.words import SPACED, Words, mix, slices, text_arrays, words_of
 
-HASHES, CHUNKS, DISTANCE = 64, 13, 25
+HASHES = 64
 BLOCK = 2048
 #: Documents and bytes of text in a block of a family; columns of a product.
 FAMILY, FAMILY_BYTES, COLUMNS = 768, 4 << 20, 8192
@@ -44,7 +45,17 @@ FAMILY, FAMILY_BYTES, COLUMNS = 768, 4 << 20, 8192
 _RNG = np.random.default_rng(77)
 _MUL = (_RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
-_PARTS = np.array_split(np.arange(HASHES), CHUNKS)
+
+
+def allowed(percent: int) -> int:
+    """The signature distance up to which pairs are found: the mean at the least similarity and 4.75 deviations more."""
+    p = 1 - percent / 100
+    return math.ceil(HASHES * p + 4.75 * math.sqrt(HASHES * p * (1 - p)))
+
+
+def chunks(distance: int) -> list[np.ndarray]:
+    """The fewest chunks of which one must have at most one error."""
+    return np.array_split(np.arange(HASHES), distance // 2 + 1)
 
 
 def shingle_sets(w: Words, n: int) -> Iterator[np.ndarray]:
@@ -87,31 +98,37 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk and each position of it that may be wrong; columns but the signature go along."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 20_000):
-            rows = batch.slice(lo, 20_000)
-            s = _signatures(rows.column(rows.schema.get_field_index("sig"))).astype(np.uint64)
-            rest = [rows.column(k) for k, name in enumerate(rows.schema.names) if name != "sig"]
-            names = [name for name in rows.schema.names if name != "sig"]
-            for chunk, part in enumerate(_PARTS):
-                for hole in range(len(part)):
-                    key = np.full(len(s), chunk * 64 + hole + 1, dtype=np.uint64)
-                    for p in np.delete(part, hole):
-                        key = mix(key ^ (s[:, p] + np.uint64(0x9E3779B97F4A7C15)))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *rest], names=["key", *names])
+def _keys(distance: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each chunk and each position of it that may be wrong; columns but the signature go along."""
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 20_000):
+                rows = batch.slice(lo, 20_000)
+                s = _signatures(rows.column(rows.schema.get_field_index("sig"))).astype(np.uint64)
+                rest = [rows.column(k) for k, name in enumerate(rows.schema.names) if name != "sig"]
+                names = [name for name in rows.schema.names if name != "sig"]
+                for chunk, part in enumerate(chunks(distance)):
+                    for hole in range(len(part)):
+                        key = np.full(len(s), chunk * 64 + hole + 1, dtype=np.uint64)
+                        for p in np.delete(part, hole):
+                            key = mix(key ^ (s[:, p] + np.uint64(0x9E3779B97F4A7C15)))
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *rest], names=["key", *names])
 
+    return keys
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, sig_a, sig_b) whose signatures are near."""
-    for batch in batches:
-        if batch.num_rows:
-            near = (_signatures(batch.column(2)) != _signatures(batch.column(3))).sum(axis=1) <= DISTANCE
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
 
+def _near(distance: int):
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b, sig_a, sig_b) whose signatures are near."""
+        for batch in batches:
+            if batch.num_rows:
+                close = (_signatures(batch.column(2)) != _signatures(batch.column(3))).sum(axis=1) <= distance
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(close)) for k in (0, 1)], names=["a", "b"])
 
-def _across(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, signs: np.ndarray, same_block: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return near
+
+
+def _across(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, signs: np.ndarray, same_block: bool, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Near pairs of one unit across components; of two blocks only pairs from both."""
     n = len(ids)
     columns = [np.ascontiguousarray(p) for p in signs.T] if n > 48 else []
@@ -125,26 +142,29 @@ def _across(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, signs: np.nda
             errors = np.zeros(ok.shape, np.uint8)
             for p in columns:
                 errors += p[rows, None] != p[None, :]
-            x, y = np.nonzero(ok & (errors <= DISTANCE))
+            x, y = np.nonzero(ok & (errors <= distance))
             yield ids[x + i], ids[y]
         else:
             x, y = np.nonzero(ok)
-            near = (signs[x + i] != signs[y]).sum(axis=1) <= DISTANCE
+            near = (signs[x + i] != signs[y]).sum(axis=1) <= distance
             yield ids[x[near] + i], ids[y[near]]
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of the near pairs of each unit; rows (key, lo, hi, side, id, c, sig) come sorted by unit."""
-    for rows, bounds in whole_groups(batches, 3):
-        _, lo, hi, side, ids, comps = (rows.column(k).to_numpy() for k in range(6))
-        signs = _signatures(rows.column(6))
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for a, b in bounds:
-            if b - a > 1:
-                pairs = list(_across(ids[a:b], comps[a:b], side[a:b], signs[a:b], lo[a] == hi[a]))
-                out += [forest(*(np.concatenate([p[k] for p in pairs]) for k in (0, 1)))] if b - a > 48 else pairs
-        x, y = forest(*(np.concatenate([p[k] for p in out]) for k in (0, 1)))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+def _units(distance: int):
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A forest of the near pairs of each unit; rows (key, lo, hi, side, id, c, sig) come sorted by unit."""
+        for rows, bounds in whole_groups(batches, 3):
+            _, lo, hi, side, ids, comps = (rows.column(k).to_numpy() for k in range(6))
+            signs = _signatures(rows.column(6))
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for a, b in bounds:
+                if b - a > 1:
+                    pairs = list(_across(ids[a:b], comps[a:b], side[a:b], signs[a:b], lo[a] == hi[a], distance))
+                    out += [forest(*(np.concatenate([p[k] for p in pairs]) for k in (0, 1)))] if b - a > 48 else pairs
+            x, y = forest(*(np.concatenate([p[k] for p in out]) for k in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return units
 
 
 def _similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, comps: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +210,7 @@ def _similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, comps: np.nda
     return pairs[:, 0], pairs[:, 1]
 
 
-def _families(n: int, percent: int):
+def _families(n: int, percent: int, distance: int):
     def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A forest of each unit's links; rows (fam, lo, hi, side, id, c, sig, text) come sorted by unit."""
         for rows, bounds in whole_groups(batches, 3):
@@ -199,7 +219,7 @@ def _families(n: int, percent: int):
             out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for a, b in bounds:
                 own, comp = ids[a:b], comps[a:b]
-                pairs = list(_across(np.arange(b - a), comp, side[a:b], signs[a:b], lo[a] == hi[a]))
+                pairs = list(_across(np.arange(b - a), comp, side[a:b], signs[a:b], lo[a] == hi[a], distance))
                 i, j = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
                 if len(i):
                     sets = list(shingle_sets(Words(*text_arrays(rows.column(7).slice(a, b - a).combine_chunks()), SPACED, lower=True), n))
@@ -244,34 +264,33 @@ def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable by links) and kept (id = component_id) of every row.
 
-    Links join documents whose sets' similarity is at least `percent` / 100, which must be 80 or more.  Ids are longs.
+    Links join documents whose sets' similarity is at least `percent` / 100.  Ids are longs.
     """
     prepare(docs.sparkSession)
-    if percent < 80:
-        raise ValueError("the signature distance covers similarities of 0.8 and more")
+    distance = allowed(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = settled(docs.mapInArrow(_sketched(shingle), "id long, n long, h1 long, h2 long, sig binary"), "sketch")
     classes = settled(sketch.filter("id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
     reps = classes.groupBy(F.col("rep").alias("id")).agg(F.first("sig").alias("sig"))
     signs = settled(reps, "signatures")
 
-    keys = signs.select("id", "sig").mapInArrow(_keys, "key long, id long")
+    keys = signs.select("id", "sig").mapInArrow(_keys(distance), "key long, id long")
     center = keys.groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "c")
     star = keys.join(center, "key").filter("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")).distinct()
     sig_a, sig_b = (signs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    tested = settled(star.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a long, b long"), "star")
+    tested = settled(star.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_near(distance), "a long, b long"), "star")
     first = _links(tested, docs, shingle, percent)
     comps = components(first)
 
     signed = settled(signs.join(comps, signs["id"] == comps["node"], "left").select("id", F.coalesce("component", "id").alias("c"), "sig"), "signed")
-    keys = signed.mapInArrow(_keys, "key long, id long, c long")
+    keys = signed.mapInArrow(_keys(distance), "key long, id long, c long")
     mixed = keys.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 < c1")
     mixed = settled(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
     members = keys.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "c")
     units = members.join(signed.select("id", "sig"), "id").select("key", "lo", "hi", "side", "id", "c", "sig")
     units = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    near = settled(units.mapInArrow(_units, "a long, b long").distinct(), "near")
+    near = settled(units.mapInArrow(_units(distance), "a long, b long").distinct(), "near")
     final, links = comps, first
     if not near.isEmpty():
         trees = components(near)
@@ -282,7 +301,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         dealt = members.join(settled(sizes, "sizes"), "fam").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("fam", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "c", "sig", "text")
         dealt = dealt.repartition("fam", "lo", "hi").sortWithinPartitions("fam", "lo", "hi", "id")
-        links = first.union(dealt.mapInArrow(_families(shingle, percent), "a long, b long"))
+        links = first.union(dealt.mapInArrow(_families(shingle, percent, distance), "a long, b long"))
         final = components(links)
         discard(members, families)
     placed = settled(classes.join(final, classes["rep"] == final["node"], "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id")), "placed")
