@@ -78,7 +78,7 @@ def conditional_candidates(kg: DataFrame, atoms: tuple[Atom, ...], v: int, bound
     out = bound
     found = False
     for a in [a for a in atoms if v in a.ends]:
-        other = (a.ends - {v}).pop()
+        other = a.o if a.s == v else a.s
         if other not in known:
             continue
         side = kg.filter(F.col("p") == a.p).select(F.col("s" if a.s == v else "o").alias("value"), F.col("s" if a.s == other else "o").alias(plan.column(other)))
@@ -101,7 +101,7 @@ def refined_pairs(kg: DataFrame, atoms: tuple[Atom, ...], at: int) -> DataFrame:
             swapped = b.s != a.s
             out = out.join(side.select(F.col("o" if swapped else "s").alias("s"), F.col("s" if swapped else "o").alias("o")), ["s", "o"], "left_semi")
         else:
-            v = (a.ends & b.ends).pop()
+            (v,) = a.ends & b.ends
             own, theirs = ("s" if a.s == v else "o"), ("s" if b.s == v else "o")
             out = out.join(side.select(F.col(theirs).alias(own)), own, "left_semi")
     return out.select("s", "o")

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hornlake.plans.rule import Atom, Rule
+from hornlake.plans.rule import Atom, Rule, degrees
 
 
 def column(v: int) -> str:
@@ -38,17 +38,38 @@ def _atom(kg: DataFrame, a: Atom) -> DataFrame:
     return kg.filter(F.col("p") == a.p).select(F.col("s").alias(column(a.s)), F.col("o").alias(column(a.o)))
 
 
-def matchings(kg: DataFrame, atoms: Iterable[Atom], may_equal: frozenset[int] = frozenset(), sizes: dict[str, int] | None = None, start: DataFrame | None = None) -> DataFrame:
+def some_of(side: DataFrame, by: list[str], value: str, n: int) -> DataFrame:
+    """The n least values of a column for each value of the others: a limit that Spark applies before the shuffle."""
+    side = side.distinct()
+    ranked = side.withColumn("rank_", F.row_number().over(Window.partitionBy(*by).orderBy(value)))
+    return ranked.filter(F.col("rank_") <= n).drop("rank_")
+
+
+def leaves(atoms: Iterable[Atom], keep: Iterable[int] = ()) -> set[int]:
+    """Variables of a single atom end, but for those to keep."""
+    return {v for v, n in degrees(atoms).items() if n == 1} - set(keep)
+
+
+def matchings(kg: DataFrame, atoms: Iterable[Atom], may_equal: frozenset[int] = frozenset(), sizes: dict[str, int] | None = None, start: DataFrame | None = None, exists: Iterable[int] | None = None, others: int = 0) -> DataFrame:
     """All injective matchings, one column for each variable; `start` holds values of some variables already.
 
-    The two variables of `may_equal` are not compared with each other.
+    The two variables of `may_equal` are not compared with each other.  With `exists`, only which values of those
+    variables have a matching matters.  A leaf, another variable of one atom, then needs no more of its values than
+    there are variables (and `others` that come later) to differ from: one that is taken can give way to another.
+    So an entity with very many neighbours adds a few rows for a leaf.
     """
+    atoms = list(atoms)
+    spare = leaves(atoms, exists) if exists is not None else set()
+    enough = len({v for a in atoms for v in a.ends}) + others
     out = start
     known = {int(c[1:]) if c[0] == "v" else -1 for c in start.columns} if start is not None else set()
     for a in join_order(atoms, sizes, known):
         side = _atom(kg, a)
         shared = [column(v) for v in (a.s, a.o) if v in known]
         new = a.ends - known
+        if len(new & spare) == 1 and len(new) == 1:
+            (leaf,) = new
+            side = some_of(side, shared, column(leaf), enough)
         if out is None:
             out = side
         elif not new:
@@ -75,7 +96,7 @@ def _xy(df: DataFrame, r: Rule) -> DataFrame:
 
 def body_pairs(kg: DataFrame, r: Rule, sizes: dict[str, int] | None = None, head_injective: bool = False) -> DataFrame:
     """Distinct pairs (s, o) for which the body has a matching, in the head or not."""
-    return _xy(matchings(kg, r.body, _head_pair(r, head_injective), sizes), r)
+    return _xy(matchings(kg, r.body, _head_pair(r, head_injective), sizes, exists=(r.head.s, r.head.o)), r)
 
 
 def supported_pairs(kg: DataFrame, r: Rule, sizes: dict[str, int] | None = None, head_injective: bool = False) -> DataFrame:
@@ -83,7 +104,7 @@ def supported_pairs(kg: DataFrame, r: Rule, sizes: dict[str, int] | None = None,
     start = _atom(kg, r.head).distinct()
     if head_injective:
         start = start.filter(F.col(column(r.head.s)) != F.col(column(r.head.o)))
-    return _xy(matchings(kg, r.body, _head_pair(r, head_injective), sizes, start), r)
+    return _xy(matchings(kg, r.body, _head_pair(r, head_injective), sizes, start, exists=(r.head.s, r.head.o)), r)
 
 
 def pca_pairs(kg: DataFrame, r: Rule, corrupt: str, sizes: dict[str, int] | None = None, head_injective: bool = False) -> DataFrame:
@@ -92,7 +113,7 @@ def pca_pairs(kg: DataFrame, r: Rule, corrupt: str, sizes: dict[str, int] | None
     The other value is a variable like any: it differs from all values of the matching.  It is only asked to exist.
     """
     h = r.head
-    body = matchings(kg, r.body, _head_pair(r, head_injective), sizes)
+    body = matchings(kg, r.body, _head_pair(r, head_injective), sizes, exists=(h.s, h.o), others=1)
     kept, other = (h.o, "s") if corrupt == "x" else (h.s, "o")
     if corrupt not in ("x", "y"):
         raise ValueError("corrupt is 'x' or 'y'")
