@@ -123,3 +123,12 @@ def pca_pairs(kg: DataFrame, r: Rule, corrupt: str, sizes: dict[str, int] | None
     for c in body.columns:
         holds &= F.col(c) != F.col("free_")
     return _xy(body.join(facts, holds, "left_semi"), r).join(heads, ["s", "o"], "left_anti")
+
+
+def connected_body(r: Rule) -> bool:
+    """Whether the PCA query has one plan: its body joins both head variables."""
+    try:
+        join_order(r.body)
+    except ValueError:
+        return False
+    return {r.head.s, r.head.o} <= {v for a in r.body for v in a.ends}
