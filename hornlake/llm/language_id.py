@@ -6,8 +6,8 @@ smallest is chosen.  A short text is compressed from several starts, for sizes f
 the saving against the runner-up as a share of the runner-up's size, is the score; a text whose margin is narrow is
 rejected.  Whole texts are compressed: blocks only keep the dictionary, not the text's own past, decisive.
 
-The dictionaries are fitted on a bounded sample: of each language the `sample_docs` labelled texts lowest in a hash
-of their id, `sample_chars` characters of each, `dictionary_bytes` in all.  Everything else covers all rows.
+The dictionaries are fitted on a bounded sample: of each language `sample_docs` labelled texts, low in a hash,
+`sample_chars` characters of each, `dictionary_bytes` in all.  Everything else covers all rows.
 
 Defined results: null text and text without a letter are `und` with score 0 and rejected.  A tie goes to the
 language first in order, with score 0.  Without any labelled text all rows are `und`.
@@ -20,10 +20,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hornlake.llm.shared import prepare
+from hornlake.llm.shared import hash_sample, prepare
 
 UNDETERMINED = "und"
 BLOCK, SHORT = 2048, 96
@@ -38,18 +38,12 @@ def normal(text: str) -> bytes:
 
 def fit_dictionaries(docs: DataFrame, labelled: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 96, sample_chars: int = 4000, dictionary_bytes: int = 32_000) -> dict[str, bytes]:
     """A raw-content dictionary for each label; reads only rows for which `labelled` holds."""
-    by_hash = Window.partitionBy("lang").orderBy("h", "id")
-    rows = (
-        docs.filter(labelled & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h"), F.substring(F.col(text_col), 1, sample_chars).alias("text"))
-        .withColumn("r", F.row_number().over(by_hash))
-        .filter(F.col("r") <= sample_docs)
-        .collect()
-    )
+    rows = docs.filter(labelled & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    start = rows.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, sample_chars).alias("text"))
     out: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["r"])):
+    for row in sorted(hash_sample(start, "text", sample_docs, "lang").collect(), key=lambda r: (r["lang"], r["h"])):
         out.setdefault(row["lang"], []).append(row["text"])
-    return {lang: b"\n".join(dict.fromkeys(map(normal, texts)))[:dictionary_bytes] for lang, texts in sorted(out.items())}
+    return {lang: b"\n".join(dict.fromkeys(map(normal, texts[:sample_docs])))[:dictionary_bytes] for lang, texts in sorted(out.items())}
 
 
 class Classifier:

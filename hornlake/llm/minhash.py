@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornlake.llm.components import components, forest
-from hornlake.llm.shared import discard, prepare, settled
+from hornlake.llm.shared import discard, prepare, rows_with, settled
 from hornlake.llm.streams import whole_groups
 from hornlake.llm.words import SPACED, Words, mix, slices, text_arrays, words_of
 
@@ -252,8 +252,7 @@ def _confirmed(n: int, percent: int):
 
 def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links; texts are read for the documents in them only."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = settled(docs.join(ids, "id", "left_semi"), "texts")
+    texts = rows_with(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "id", "texts")
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     out = settled(two.mapInArrow(_confirmed(n, percent), "a long, b long").distinct(), "confirmed")
@@ -295,15 +294,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not near.isEmpty():
         trees = components(near)
         families = settled(trees.select(F.col("node").alias("id"), F.col("component").alias("fam")).union(trees.select("component", "component").distinct()), "families")
-        members = families.join(signed, "id").join(docs, "id").withColumn("bytes", F.octet_length("text"))
-        members = settled(members, "members")
+        texts = rows_with(docs, families, "id", "texts")
+        members = settled(families.join(signed, "id").join(texts, "id").withColumn("bytes", F.octet_length("text")), "members")
         sizes = members.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / FAMILY), F.ceil(F.sum("bytes") / FAMILY_BYTES)).cast("int").alias("blocks"))
         dealt = members.join(settled(sizes, "sizes"), "fam").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("fam", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id", "c", "sig", "text")
         dealt = dealt.repartition("fam", "lo", "hi").sortWithinPartitions("fam", "lo", "hi", "id")
         links = first.union(dealt.mapInArrow(_families(shingle, percent, distance), "a long, b long"))
         final = components(links)
-        discard(members, families)
+        discard(members, families, texts)
     placed = settled(classes.join(final, classes["rep"] == final["node"], "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id")), "placed")
     discard(signs, signed, mixed, tested, near)
     named = placed.select(*(F.col(x).alias(f"{x}_") for x in ("h1", "h2", "n")), "component_id")

@@ -2,7 +2,7 @@
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass the kind's check.  The model
 (tagger.py) is trained in numpy when first used, with a fixed seed, on labelled spans: sentences of invented words
-with values of each kind, and a bounded sample of `sample_docs` documents (lowest in a hash of their text,
+with values of each kind, and a bounded sample of `sample_docs` documents (low in a hash of their beginnings,
 `sample_chars` characters of each) labelled with their base spans.  It tags every character of every text; a run of
 one label becomes a span if it can be of its kind and touches no base span.  Base spans always stay.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hornlake.llm.pii_examples import KINDS, Examples
-from hornlake.llm.shared import prepare
+from hornlake.llm.shared import hash_sample, prepare
 from hornlake.llm.tagger import Weights, classes, loaded, packed, train
 
 Span = tuple[int, int, str]
@@ -120,10 +120,11 @@ def model_spans(text: str, labels: np.ndarray, base: list[Span]) -> list[Span]:
     return out
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", sample_docs: int = 400, sample_chars: int = 2000, steps: int = 300, batch: int = 64, length: int = 64, seed: int = 1) -> Weights:
+def fit(docs: DataFrame, *, text_col: str = "text", sample_docs: int = 400, sample_chars: int = 2000, steps: int = 400, batch: int = 64, length: int = 64, seed: int = 1) -> Weights:
     """Weights of the tagger; two thirds of the training text are generated, the rest is the sample."""
-    rows = docs.select(F.substring(F.col(text_col), 1, sample_chars).alias("t"), F.xxhash64(F.col(text_col)).alias("h")).filter("t <> ''").orderBy("h", "t").limit(sample_docs).collect()
-    sample = "\n".join(dict.fromkeys(r["t"] for r in rows))
+    start = docs.select(F.substring(F.col(text_col), 1, sample_chars).alias("t"))
+    rows = sorted((r["h"], r["t"]) for r in hash_sample(start, "t", sample_docs).collect())[:sample_docs]
+    sample = "\n".join(t for _, t in rows)
     x, y = classes(sample), np.zeros(len(sample), np.int64)
     for a, b, kind in base_spans(sample):
         y[a:b] = 1 + KINDS.index(kind)

@@ -7,9 +7,13 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -68,6 +72,47 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_sample(rows: DataFrame, text: str, n: int, *by: str) -> DataFrame:
+    """About 2 n distinct texts of each group, or all if there are fewer: those low in a hash of the text.
+
+    A group's count gives the bound of the hash, so only the sample itself moves, however many tasks read the table.
+    Adds `h`; the groups must be few.  Null and empty texts are left out.
+    """
+    space = 1 << 62
+    rows = rows.filter(F.col(text) != "").withColumn("h", F.pmod(F.xxhash64(F.col(text)), F.lit(space)))
+    bounds = {tuple(r[c] for c in by): min(space, int(2 * n / r["count"] * space)) for r in rows.groupBy(*by).count().collect()} if by else {(): min(space, int(2 * n / max(1, rows.count()) * space))}
+    low = F.lit(False)
+    for values, bound in sorted(bounds.items()):
+        low |= reduce(lambda a, b: a & b, (F.col(c) == v for c, v in zip(by, values, strict=True)), F.lit(True)) & (F.col("h") < bound)
+    return rows.filter(low).groupBy(*by, "h").agg(F.min(text).alias(text))
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """SQL settings, dots as double underscores, for what runs inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def rows_with(big: DataFrame, ids: DataFrame, key: str, what: str) -> DataFrame:
+    """Rows of a big table whose key is in a small one, settled.
+
+    Spark is asked to build a filter of bounded size over the keys, which drops most other rows before the shuffle.
+    """
+    spark = big.sparkSession
+    listed = settled(ids.select(key).distinct(), "keys").filter(F.col(key) > -(2**63))  # always so; marks the side as selective
+    prefix = "spark__sql__optimizer__runtime__bloomFilter__"
+    with settings(spark, **{f"{prefix}enabled": "true", f"{prefix}applicationSideScanSizeThreshold": "1"}):
+        return settled(big.join(listed, key, "left_semi"), what)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
