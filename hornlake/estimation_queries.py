@@ -17,7 +17,7 @@ from hornlake.operators import metrics as M
 from hornlake.operators import sampling, shapes, stopping
 from hornlake.plans import compile as plan
 from hornlake.plans.rule import FREE
-from hornlake.queries import RULES, _candidates_sql, query, support_sql
+from hornlake.queries import RULES, _candidates_sql, pca_sql, query, support_sql
 from hornlake.sources.lift import KG_SQL, lift
 from hornlake.sources.triples import deduplicated
 
@@ -257,7 +257,7 @@ def inverse_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hornlake.operators.probability import inverse_probability as weigh
     from hornlake.operators.walks import beam
 
-    kg = lift(spark, sf_dir).cache()
+    kg = stats.laid_out(lift(spark, sf_dir))
     draws = beam(kg, RULES["r4"], "y", 200, seed=4, selection="NonCorrupt")
     return weigh(kg, draws, RULES["r4"].corrupted("y"), given=RULES["r4"].head.s)
 
@@ -370,3 +370,33 @@ def positive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return deduplicated(item.select(F.col("l_suppkey").alias("s"), F.lit("ships").alias("p"), F.col("l_partkey").alias("o"), F.lit(0).alias("split"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tid")))
+
+
+@query("pca_exact_or_clt", f"{KG_SQL} SELECT n::DOUBLE AS pca, 'exact' AS method FROM ({pca_sql(RULES['r4'], 'x')})")
+def pca_exact_or_clt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.operators.grid import pca_count
+
+    return pca_count(lift(spark, sf_dir), RULES["r4"], "x", method="exact")
+
+
+@query("pca_clt")
+def pca_clt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.operators.grid import pca_count
+
+    return pca_count(lift(spark, sf_dir), RULES["r4"], "y", method="clt", accuracy=0.01, confidence=0.01)
+
+
+@query("support_estimation_grid")
+def support_estimation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.operators.grid import support_estimates
+
+    kg = stats.laid_out(lift(spark, sf_dir))
+    return support_estimates(kg, RULES["r4"], runs=1)
+
+
+@query("pca_estimation_grid")
+def pca_estimation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hornlake.operators.grid import pca_estimates
+
+    kg = stats.laid_out(lift(spark, sf_dir))
+    return pca_estimates(kg, RULES["r4"], "y", runs=1, selections=["NonCorrupt"])

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def laid_out(kg: DataFrame) -> DataFrame:
+    """The triples in ranges of predicate and subject, cached: a scan of one predicate reads its ranges only."""
+    return kg.repartitionByRange("p", "s").sortWithinPartitions("p", "s").cache()
+
+
 def in_splits(kg: DataFrame, upto: int | None) -> DataFrame:
     """Triples of splits up to `upto`; all if that is None."""
     return kg if upto is None else kg.filter(F.col("split") <= upto)

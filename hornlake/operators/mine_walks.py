@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from hornlake.functions.stats import laid_out
 from hornlake.functions.stats import sizes as predicate_sizes
 from hornlake.operators.metrics import metrics
 from hornlake.operators.policy import POLICIES, MetricReward, Profile, profile_grid, rule_reward
@@ -37,7 +38,7 @@ class Settings:
 
 def mine(kg: DataFrame, settings: Settings, process: Callable[[int, Rule, dict], None] | None = None) -> DataFrame:
     """rule_id, rule, key, support, head_coverage, pca_x, pca_y of the rules found; `process` is called for each."""
-    kg = kg.select("s", "p", "o").cache()
+    kg = laid_out(kg.select("s", "p", "o"))
     sizes = predicate_sizes(kg)
     rng = random.Random(settings.seed)
     profiles = profile_grid(set(settings.features), settings.max_length, sorted(sizes))

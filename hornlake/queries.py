@@ -158,7 +158,7 @@ def _metrics_sql() -> str:
 
 @query("rule_metrics", _metrics_sql())
 def rule_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kg = lift(spark, sf_dir).cache()  # read by some forty joins
+    kg = stats.laid_out(lift(spark, sf_dir))  # read by some forty joins
     sizes = stats.sizes(kg)
     return reduce(DataFrame.union, [M.metrics(kg, r, name, sizes=sizes) for name, r in RULES.items()])
 

@@ -147,3 +147,20 @@ def test_diversity_on_driver_and_spark(spark):
     assert row["effort"] == pytest.approx(diversity.effort(counts, 0.95))
     assert diversity.abundance(rows, ["profile"], "rule_id").agg(F.sum("species")).first()[0] == len(counts)
     assert diversity.effort(Counter(), 0.95) == 0.0
+
+
+def test_estimation_grid(kg):
+    from hornlake.operators.grid import pca_count, pca_estimates, support_estimates
+
+    r = rule("a(x,y)", "b(x,z)", "c(z,y)")
+    rows = support_estimates(kg, r, runs=1).collect()
+    assert len(rows) == len({x["technique"] for x in rows}) == 144
+    exact = [x for x in rows if x["technique"].startswith("Support_Hypergeometric_Chernoff")]
+    assert all(abs(x["q_error"]) < 0.2 for x in exact) and all(x["n"] >= 50 for x in rows)
+    rows = pca_estimates(kg, r, "y", runs=1, selections=["NonCorrupt"]).collect()
+    assert len(rows) == 109 and sum(x["technique"] == "PCA_AnyBURL__NonCorrupt" for x in rows) == 1
+    truth = pca_pairs(kg, r, "y").count()
+    assert pca_count(kg, r, "y", method="auto").first()["pca"] == truth
+    assert pca_count(kg, r, "y", method="clt", accuracy=0.02, confidence=0.05).first()["pca"] == pytest.approx(truth, rel=0.3)
+    with pytest.raises(ValueError):
+        pca_count(kg, r, "y", method="guess")
