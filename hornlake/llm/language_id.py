@@ -36,7 +36,7 @@ def normal(text: str) -> bytes:
     return " ".join(_letters(text.lower())).encode()
 
 
-def fit_dictionaries(docs: DataFrame, labelled: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 96, sample_chars: int = 4000, dictionary_bytes: int = 32_000) -> dict[str, bytes]:
+def fit_dictionaries(docs: DataFrame, labelled: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 160, sample_chars: int = 600, dictionary_bytes: int = 64_000) -> dict[str, bytes]:
     """A raw-content dictionary for each label; reads only rows for which `labelled` holds."""
     rows = docs.filter(labelled & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     start = rows.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, sample_chars).alias("text"))
@@ -53,7 +53,7 @@ class Classifier:
         import zstandard as z
 
         self.langs, self.block = sorted(dictionaries), block
-        params = z.ZstdCompressionParameters.from_level(3, strategy=z.STRATEGY_LAZY2, min_match=3, format=z.FORMAT_ZSTD1_MAGICLESS, write_checksum=0, write_content_size=0, write_dict_id=0)
+        params = z.ZstdCompressionParameters.from_level(3, strategy=z.STRATEGY_LAZY2, min_match=3, window_log=17, hash_log=16, chain_log=16, search_log=4, format=z.FORMAT_ZSTD1_MAGICLESS, write_checksum=0, write_content_size=0, write_dict_id=0)
         self.compress = [z.ZstdCompressor(dict_data=z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress for lang in self.langs]
 
     def sizes(self, text: str) -> list[int]:
@@ -75,7 +75,7 @@ def _classifier(dictionaries: tuple[tuple[str, bytes], ...]) -> Classifier:
     return Classifier(dict(dictionaries))
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str = "text", margin: float = 0.01) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str = "text", margin: float = 0.005) -> DataFrame:
     """All columns of `docs`, then lang_pred, score and rejected (score < margin, or undetermined), in place of any of those names."""
     prepare(docs.sparkSession)
     key = tuple(sorted(dictionaries.items()))
