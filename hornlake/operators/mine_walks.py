@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from hornlake.functions.stats import laid_out
 from hornlake.functions.stats import sizes as predicate_sizes
 from hornlake.operators.metrics import metrics
-from hornlake.operators.policy import POLICIES, MetricReward, Profile, profile_grid, rule_reward
+from hornlake.operators.policy import POLICIES, EffortReward, MetricReward, Profile, profile_grid, rule_reward
 from hornlake.operators.walks import random_walks, walk_rule
 from hornlake.plans.rule import Rule, body_connected, canonical, check, heads, is_closed, key, render
 
@@ -44,7 +44,7 @@ def mine(kg: DataFrame, settings: Settings, process: Callable[[int, Rule, dict],
     profiles = profile_grid(set(settings.features), settings.max_length, sorted(sizes))
     extra = (settings.window,) if settings.policy == "StaticProbability" else ()
     policy = POLICIES[settings.policy](profiles, settings.epsilon, settings.seed, *extra)
-    reward = MetricReward(settings.reward, settings.window)
+    reward = EffortReward() if settings.reward == "Effort" else MetricReward(settings.reward, settings.window)
     known: dict[str, int] = {}
     found: list[tuple] = []
     for begin in range(0, settings.budget, settings.batch):
@@ -61,6 +61,8 @@ def mine(kg: DataFrame, settings: Settings, process: Callable[[int, Rule, dict],
                 _failed(policy, reward, profile)
             elif key(r) in known or key(r) in new:
                 policy.report_repeated(profile)
+                if isinstance(reward, EffortReward) and key(r) in known:
+                    reward.add(profile, known[key(r)])
             else:
                 new[key(r)] = r
         for k, r in sorted(new.items()):
@@ -68,7 +70,8 @@ def mine(kg: DataFrame, settings: Settings, process: Callable[[int, Rule, dict],
             row = metrics(kg, r, k, sizes=sizes).first().asDict()
             policy.report_rule(profile)
             confidence = max(row["pca_confidence_x"], row["pca_confidence_y"])
-            reward.add(profile, rule_reward(settings.reward, row["support"], row["head_coverage"], confidence, r.length, row["predicate_size"]))
+            value = known[k] if isinstance(reward, EffortReward) else rule_reward(settings.reward, row["support"], row["head_coverage"], confidence, r.length, row["predicate_size"])
+            reward.add(profile, value)
             good = row["head_coverage"] >= settings.min_head_coverage
             found.append((known[k], render(r), k, row["support"], row["head_coverage"], row["pca_x"] if good else None, row["pca_y"] if good else None))
             if process:
@@ -77,6 +80,7 @@ def mine(kg: DataFrame, settings: Settings, process: Callable[[int, Rule, dict],
     return kg.sparkSession.createDataFrame(found, "rule_id long, rule string, key string, support long, head_coverage double, pca_x long, pca_y long")
 
 
-def _failed(policy, reward: MetricReward, profile: Profile) -> None:
+def _failed(policy, reward: MetricReward | EffortReward, profile: Profile) -> None:
+    """A failure is worth nothing; for the effort it is a species of its own."""
     policy.report_failure(profile)
-    reward.add(profile, 0.0)
+    reward.add(profile, -1 if isinstance(reward, EffortReward) else 0.0)

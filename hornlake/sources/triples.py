@@ -26,15 +26,15 @@ DATASETS = {
     "Codex_L": Format("wiki", "\t"),
     "FB13": Format("ids", "\t"),
     "FB15K": Format("ids", " "),
-    "FB15K-237": Format("ids", " "),
+    "FB15K237": Format("ids", " "),
     "Hetionet": Format("ids", "\t"),
-    "NELL-995": Format("ids", " "),
+    "NELL_995": Format("ids", " "),
     "SNOMED": Format("ids", "\t"),
     "Wikidata5M": Format("wiki", "\t"),
-    "WN11": Format("ids", "\t"),
     "WN18": Format("ids", " "),
     "WN18RR": Format("ids", " "),
-    "YAGO3-10": Format("ids", " "),
+    "YAGO3_10": Format("ids", " "),
+    "WN11": Format("ids", "\t"),
 }
 
 

@@ -96,6 +96,7 @@ def test_walk_miner(kg):
     assert len(out) == len(seen) and len({r["key"] for r in out}) == len(out)
     for rule_id, r, row in seen:
         assert row["support"] == support(kg, r).first()["support"] and rule_id >= 1
+    assert mine_walks(kg, Settings(budget=8, batch=4, max_length=2, features=frozenset({"Head"}), reward="Effort", all_heads=True, seed=2)).count() >= 0
 
 
 def test_catalog(spark):
@@ -115,7 +116,7 @@ def test_catalog(spark):
 def test_policies():
     profiles = policy.profile_grid({"Length", "Head"}, 3, ["a", "b"])
     assert len(profiles) == 4
-    assert len(policy.profile_grid({"NumberOfVariables"}, 3, ["a"])) == 2
+    assert len(policy.profile_grid({"NumberOfVariables"}, 3, ["a"])) == 3
     value = {p: i for i, p in enumerate(profiles)}.get
     best = policy.MaxPolicy(profiles, 0.0, 1)
     assert {best.next(value) for _ in range(20)} == {profiles[-1]}
@@ -130,12 +131,14 @@ def test_policies():
     with pytest.raises(ValueError):
         policy.MaxPolicy([], 0.1, 1)
     assert policy.rule_reward("SupportConfLength", 10, 0.5, 0.5, 3, 7) == 2.5
-    assert policy.rule_reward("HCConf", 0, 0, 0, 0, 0) == 0 and policy.rule_reward("HCConf", 0, 0, 0, 0, 0, reference=True) == 100
+    assert policy.rule_reward("F1", 0, 0, 0, 0, 0) == 0 and policy.rule_reward("F1", 0, 0, 0, 0, 0, reference=True) == 100
+    assert policy.rule_reward("ConfLengthPredSize", 3, 0.5, 0.5, 3, 8) == 2 and policy.rule_reward("ConfLengthPredSize", 3, 0.5, 0.5, 3, 8, reference=True) == 4
     reward = policy.MetricReward("Support", 2)
     for v in (1.0, 2.0, 4.0):
         reward.add(profiles[0], v)
     assert reward.reward(profiles[0]) == 3.0 and reward.reward(profiles[1]) == 0.0
-    assert len(policy.single_runs()) == 13 and next(policy.experiment_grid())["dataset"] == "BioKG"
+    grid = list(policy.experiment_grid("WN18"))
+    assert len(policy.single_runs()) == 13 and len(grid) == 2 * (4 * 3 + 1) * 2 * (6 * 3 + 1) * 3
 
 
 def test_diversity_on_driver_and_spark(spark):
