@@ -100,11 +100,20 @@ def body_pairs(kg: DataFrame, r: Rule, sizes: dict[str, int] | None = None, head
 
 
 def supported_pairs(kg: DataFrame, r: Rule, sizes: dict[str, int] | None = None, head_injective: bool = False) -> DataFrame:
-    """Pairs of the head for which the body has a matching: the head's pairs are where the joins begin."""
-    start = _atom(kg, r.head).distinct()
+    """Pairs of the head for which the body has a matching.
+
+    A body that joins both variables is matched on its own and the head semi-joined with it: joining a head's pairs
+    with one atom first would repeat a subject's edges for each of its pairs.  Other bodies start at the head's pairs.
+    """
+    pair, ends = _head_pair(r, head_injective), (r.head.s, r.head.o)
+    head = _atom(kg, r.head).distinct()
     if head_injective:
-        start = start.filter(F.col(column(r.head.s)) != F.col(column(r.head.o)))
-    return _xy(matchings(kg, r.body, _head_pair(r, head_injective), sizes, start, exists=(r.head.s, r.head.o)), r)
+        head = head.filter(F.col(column(r.head.s)) != F.col(column(r.head.o)))
+    if connected_body(r):
+        names = [column(v) for v in ends]
+        body = matchings(kg, r.body, pair, sizes, exists=ends).select(*names)
+        return head.join(body, names, "left_semi").select(F.col(names[0]).alias("s"), F.col(names[1]).alias("o"))
+    return _xy(matchings(kg, r.body, pair, sizes, head, exists=ends), r)
 
 
 def pca_pairs(kg: DataFrame, r: Rule, corrupt: str, sizes: dict[str, int] | None = None, head_injective: bool = False) -> DataFrame:
