@@ -10,9 +10,10 @@ too.  Shorter factors hold no window and are dropped.  A passage that goes acros
 abut; their windows overlap, so nothing is lost at factor boundaries, and per document the factors are merged into
 duplicate spans.
 
-A segment travels as its anchor and 32 more bits for each window, about 7 windows to a row: one shuffle, near twice
-the compressed input.  Two windows are taken to be equal if all 96 bits are.  A block is streamed in order and
-keeps the distinct windows of one anchor only.
+A segment travels as its anchor and a 64-bit hash of each whole window, about 7 windows to a row, in one shuffle.  Two
+windows are taken to be equal if their anchors and hashes are; the anchor says nothing about windows of one block, so
+among n distinct ones there some n * n / 2**65 pairs are taken to be equal that are not (13 million: 5e-6).  A block
+is streamed in order and keeps the distinct windows of one anchor only.
 
 Defined results: rows are in order of (doc_id, start); rows with equal ids count as one document, and those without
 an id as one document after all others.  Null and empty texts have no words; the digest is that of no bytes.
@@ -66,12 +67,12 @@ def _segments(size: int, anchor: int):
                 continue
             grams, _ = w.grams(anchor)
             keys = _least_of(grams, size - anchor + 1)[valid]
-            marks = (spans_hash(w.hash, valid, valid + size, "word") >> np.uint64(32)).astype(np.uint32)
+            marks = spans_hash(w.hash, valid, valid + size, "word")
             text = text_of[valid]
             cut = np.flatnonzero((keys[1:] != keys[:-1]) | (text[1:] != text[:-1])) + 1
             first = np.concatenate([[0], cut])
             ends = np.append(cut, len(valid)).astype(np.int64)
-            offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
+            offsets = np.concatenate([[0], ends * 8]).astype(np.int32)
             binary = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(marks)])
             h = part.column(1).to_numpy()[text[first]]
             place = ((valid[first] - w.first[text[first]]) << _H_BITS) | h
@@ -89,30 +90,29 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key, ids, place = (batch.column(k).to_numpy() for k in range(3))
         column = batch.column(3)
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
-        marks = np.frombuffer(column.buffers()[2], np.uint32)[offsets[0] : offsets[-1]]
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
+        marks = np.frombuffer(column.buffers()[2], np.uint64)[offsets[0] : offsets[-1]]
         counts = np.diff(offsets)
         row = np.repeat(np.arange(len(key)), counts)
         nth = np.arange(len(marks)) - np.repeat(offsets[:-1] - offsets[0], counts)
         start = (place >> _H_BITS)[row] + nth
         own = ids[row]
-        block = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]).astype(np.uint64)
-        code = (block[row] << np.uint64(32)) | marks
+        block = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])[row]
         held = len(seen) if last is not None and key[0] == last else 0
         if held:  # what the first block had before comes first
-            code = np.concatenate([seen.astype(np.uint64), code])
+            block, marks = np.concatenate([np.zeros(held, np.int64), block]), np.concatenate([seen, marks])
             own, start = np.concatenate([seen_id, own]), np.concatenate([seen_start, start])
         # A block's segments are in order, but the windows of one reach into the next: the least (id, start) is the first.
-        order = np.lexsort((start, own, code))
-        new = np.concatenate([[True], code[order][1:] != code[order][:-1]])
+        order = np.lexsort((start, own, marks, block))
+        new = np.concatenate([[True], (marks[order][1:] != marks[order][:-1]) | (block[order][1:] != block[order][:-1])])
         first = order[new]
         found = np.empty_like(order)
         found[order] = first[np.cumsum(new) - 1]
         twice = (own > own[found]) | ((own == own[found]) & (start > start[found]))
-        tail = code[first] >> np.uint64(32) == block[-1]
+        tail = block[first] == block[-1]
         if tail.any():
             keep = first[tail]
-            seen, seen_id, seen_start = (code[keep] & np.uint64(2**32 - 1)), own[keep], start[keep]
+            seen, seen_id, seen_start = marks[keep], own[keep], start[keep]
         last = key[-1]
         twice, start = twice[held:], start[held:]
         begins = twice & np.concatenate([[True], (row[1:] != row[:-1]) | ~twice[:-1]])

@@ -432,6 +432,15 @@ def test_blocks_over_many_batches(spark):
     assert found == {i: n for i, _, n, *_ in brute_repeats(rows)}
 
 
+def test_windows_of_one_anchor_with_like_hashes(spark):
+    """Two windows that share their anchor and the upper half of their hash, but no other word."""
+    anchor = " ".join(f"p12537x{j}" for j in range(8))
+    texts = [" ".join([anchor, *(f"t{k}y{j}" for j in range(12))]) for k in (43818, 79866)]
+    rows = list(enumerate([*texts, texts[1]]))
+    found = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(table(spark, [t for _, t in rows])).collect()}
+    assert found == {0: 0, 1: 0, 2: 20} == {i: n for i, _, n, *_ in brute_repeats(rows)}
+
+
 # 10
 
 
