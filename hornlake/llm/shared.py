@@ -75,12 +75,14 @@ def discard(*frames: DataFrame) -> None:
 def hash_sample(rows: DataFrame, text: str, n: int, *by: str) -> DataFrame:
     """About 2 n distinct texts of each group, or all if there are fewer: those low in a hash of the text.
 
-    A group's count gives the bound of the hash, so only the sample itself moves, however many tasks read the table.
+    A group's count of distinct texts, from a sketch of bounded size (error 2 %, less for few texts), gives the bound of
+    the hash, so only the sample itself moves, however many tasks read the table and however many copies there are.
     Adds `h`; the groups must be few.  Null and empty texts are left out.
     """
     space = 1 << 62
     rows = rows.filter(F.col(text) != "").withColumn("h", F.pmod(F.xxhash64(F.col(text)), F.lit(space)))
-    bounds = {tuple(r[c] for c in by): min(space, int(2 * n / r["count"] * space)) for r in rows.groupBy(*by).count().collect()} if by else {(): min(space, int(2 * n / max(1, rows.count()) * space))}
+    counts = rows.groupBy(*by).agg(F.approx_count_distinct("h", 0.02).alias("distinct")).collect()
+    bounds = {tuple(r[c] for c in by): min(space, int(2 * n / max(1, r["distinct"]) * space)) for r in counts}
     low = F.lit(False)
     for values, bound in sorted(bounds.items()):
         low |= reduce(lambda a, b: a & b, (F.col(c) == v for c, v in zip(by, values, strict=True)), F.lit(True)) & (F.col("h") < bound)

@@ -6,13 +6,16 @@ import hashlib
 import random
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornlake.llm import decontaminate, embeddings, language_id, licenses, minhash, pii, source_mix, substrings, token_counts, warc
 from hornlake.llm.components import components
+from hornlake.llm.shared import hash_sample
 
 _A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED, ALNUM = re.compile(r"[^\x20\x09-\x0D]+").findall, re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
@@ -133,6 +136,18 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(table(spark, ["some text"]), {}).collect()} == {"und"}
 
 
+def test_samples_of_groups_with_many_copies(spark):
+    """101 distinct texts in 10,000 rows, one in 1,000, and 8,000 in as many."""
+    sizes = [("aa", 10_000, 101), ("bb", 1000, 1), ("cc", 8000, 8000)]
+    rows = reduce(DataFrame.union, (spark.range(n).select(F.lit(g).alias("lang"), F.concat(F.lit(f"text {g} "), F.col("id") % distinct).alias("text")) for g, n, distinct in sizes))
+    found = {r["lang"]: r["count"] for r in hash_sample(rows, "text", 160, "lang").groupBy("lang").count().collect()}
+    assert (found["aa"], found["bb"]) == (101, 1) and 200 < found["cc"] < 440
+    assert hash_sample(rows.filter("lang = 'aa'"), "text", 160).count() == 101
+    assert hash_sample(rows.filter("lang is null"), "text", 160).count() == 0
+    headed = rows.select("lang", F.concat(F.lit("header " * 100), "text").alias("text"), F.lit(1).alias("doc_id"))
+    assert sorted(language_id.fit_dictionaries(headed, F.lit(True))) == ["aa", "bb", "cc"]
+
+
 # 4
 
 
