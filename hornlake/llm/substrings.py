@@ -16,7 +16,8 @@ among n distinct ones there some n * n / 2**65 pairs are taken to be equal that
 is streamed in order and keeps the distinct windows of one anchor only.
 
 Defined results: rows are in order of (doc_id, start); rows with equal ids count as one document, and those without
-an id as one document after all others.  Null and empty texts have no words; the digest is that of no bytes.
+an id as one document after all others.  A row's factors are kept under its id and a 64-bit hash of its text.  Null
+and empty texts have no words; the digest is that of no bytes.
 """
 
 from __future__ import annotations
@@ -34,12 +35,11 @@ from hornlake.llm.shared import prepare, settled
 from hornlake.llm.words import SPACED, slices, spans_hash, words_of
 
 _LAST = 2**63 - 1
-_H_BITS = 23
 
 
 def _identity(id_col: str, text_col: str) -> list[Column]:
-    """A place in the order of documents, and a few bits of the text to tell rows with equal ids apart."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text_col)).bitwiseAND(2**_H_BITS - 1).alias("h")]
+    """A place in the order of documents, and a hash of the text to tell rows with equal ids apart."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text_col)).alias("h")]
 
 
 def _least_of(x: np.ndarray, n: int) -> np.ndarray:
@@ -74,28 +74,27 @@ def _segments(size: int, anchor: int):
             ends = np.append(cut, len(valid)).astype(np.int64)
             offsets = np.concatenate([[0], ends * 8]).astype(np.int32)
             binary = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(marks)])
-            h = part.column(1).to_numpy()[text[first]]
-            place = ((valid[first] - w.first[text[first]]) << _H_BITS) | h
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(part.column(0).to_numpy()[text[first]]), pa.array(place), binary], names=["key", "id", "place", "marks"])
+            start = valid[first] - w.first[text[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), *(pa.array(part.column(k).to_numpy()[text[first]]) for k in (0, 1)), pa.array(start), binary], names=["key", "id", "h", "start", "marks"])
 
     return segments
 
 
 def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows that an earlier segment of their block has; rows come sorted by key, id and place."""
+    """Runs of windows that an earlier segment of their block has; rows come sorted by key, id and start."""
     last = None
     seen = seen_id = seen_start = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, ids, place = (batch.column(k).to_numpy() for k in range(3))
-        column = batch.column(3)
+        key, ids, h, begin = (batch.column(k).to_numpy() for k in range(4))
+        column = batch.column(4)
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
         marks = np.frombuffer(column.buffers()[2], np.uint64)[offsets[0] : offsets[-1]]
         counts = np.diff(offsets)
         row = np.repeat(np.arange(len(key)), counts)
         nth = np.arange(len(marks)) - np.repeat(offsets[:-1] - offsets[0], counts)
-        start = (place >> _H_BITS)[row] + nth
+        start = begin[row] + nth
         own = ids[row]
         block = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])[row]
         held = len(seen) if last is not None and key[0] == last else 0
@@ -119,7 +118,7 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stops = twice & np.concatenate([(row[1:] != row[:-1]) | ~twice[1:], [True]])
         a, b = np.flatnonzero(begins), np.flatnonzero(stops)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row[a]]), pa.array(place[row[a]] & (2**_H_BITS - 1)), pa.array(start[a]), pa.array(b - a + 1)], names=["id", "h", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row[a]]), pa.array(h[row[a]]), pa.array(start[a]), pa.array(b - a + 1)], names=["id", "h", "start", "n"])
 
 
 def _cleaned(size: int):
@@ -150,8 +149,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by spaces) of every row."""
     prepare(docs.sparkSession)
     texts = docs.select(*_identity(id_col, text_col), F.col(text_col).alias("text"))
-    segments = texts.filter("text is not null").select("id", "h", "text").mapInArrow(_segments(size, anchor), "key long, id long, place long, marks binary")
-    blocks = segments.repartition("key").sortWithinPartitions("key", "id", "place")
+    segments = texts.filter("text is not null").select("id", "h", "text").mapInArrow(_segments(size, anchor), "key long, id long, h long, start long, marks binary")
+    blocks = segments.repartition("key").sortWithinPartitions("key", "id", "start")
     factors = settled(blocks.mapInArrow(_factors, "id long, h long, start long, n long"), "factors")
     per_doc = factors.groupBy("id", "h").agg(F.collect_list(F.struct("start", "n")).alias("factors"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *_identity(id_col, text_col))

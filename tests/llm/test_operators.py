@@ -456,6 +456,14 @@ def test_windows_of_one_anchor_with_like_hashes(spark):
     assert found == {0: 0, 1: 0, 2: 20} == {i: n for i, _, n, *_ in brute_repeats(rows)}
 
 
+def test_rows_without_id_with_like_text_hashes(spark):
+    """Two texts whose hashes have the same lower 23 bits; the shorter has no room for the other's factors."""
+    passage = " ".join(f"r{k}" for k in range(30))
+    rows = [(None, f"{passage} {passage} 314"), (None, "short 13053")]
+    found = substrings.remove_repeats(table(spark, [t for _, t in rows], [None, None])).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").collect()
+    assert sorted(map(tuple, found), key=lambda r: r[1]) == sorted(brute_repeats(rows), key=lambda r: r[1])
+
+
 # 10
 
 
