@@ -167,3 +167,22 @@ def test_estimation_grid(kg):
     assert pca_count(kg, r, "y", method="clt", accuracy=0.02, confidence=0.05).first()["pca"] == pytest.approx(truth, rel=0.3)
     with pytest.raises(ValueError):
         pca_count(kg, r, "y", method="guess")
+
+
+def test_exact_or_clt_switches_by_candidate_pairs(spark):
+    """The registered query against the candidate pairs and contradictions counted apart from it."""
+    from hornlake.estimation_queries import RULES, pca_exact_or_clt
+    from hornlake.functions.numeric import clt_bound
+    from hornlake.operators import metrics as M
+    from hornlake.sources.lift import lift
+
+    r, methods = RULES["r4"], set()
+    for sf in ("sf0.001", "sf0.1"):
+        kg = lift(spark, f"/root/testdata/{sf}")
+        pairs = M.variable_candidates(kg, r.corrupted("x"), r.head.s).count() * M.variable_candidates(kg, r.corrupted("x"), r.head.o).count()
+        truth = M.pca_contradictions(kg, r, "x").first()["pca"]
+        row = pca_exact_or_clt(spark, f"/root/testdata/{sf}").first()
+        assert row["method"] == ("clt" if pairs >= clt_bound(0.005, 0.0005) else "exact")
+        assert abs(row["pca"] - truth) <= (0.005 * pairs if row["method"] == "clt" else 0)
+        methods.add(row["method"])
+    assert methods == {"exact", "clt"}
