@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
@@ -12,6 +11,7 @@ from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,16 +51,13 @@ def scratch(spark: SparkSession, what: str) -> str:
 def settled(df: DataFrame, what: str) -> DataFrame:
     """`df`, written to the shared folder and read again.
 
-    Later stages read files that outlive any executor; the shuffles that made them can be dropped at once.
+    Later stages read files that outlive any executor; the shuffles that made them are dropped when they are written.
     """
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()  # Spark drops the files of shuffles that nothing refers to any more
-    return out
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*frames: DataFrame) -> None:
@@ -109,10 +106,34 @@ def rows_with(big: DataFrame, ids: DataFrame, key: str, what: str) -> DataFrame:
     Spark is asked to build a filter of bounded size over the keys, which drops most other rows before the shuffle.
     """
     spark = big.sparkSession
-    listed = settled(ids.select(key).distinct(), "keys").filter(F.col(key) > -(2**63))  # always so; marks the side as selective
+    listed = settled(ids.select(key).distinct(), "keys")
+    selective = listed.filter(F.col(key) > -(2**63))  # always so; marks the side as selective
     prefix = "spark__sql__optimizer__runtime__bloomFilter__"
     with settings(spark, **{f"{prefix}enabled": "true", f"{prefix}applicationSideScanSizeThreshold": "1"}):
-        return settled(big.join(listed, key, "left_semi"), what)
+        out = settled(big.join(selective, key, "left_semi"), what)
+    discard(listed)
+    return out
+
+
+class Marks:
+    """A filter of fixed size over 64-bit values: a bit for each value's upper bits.  A value in it is never denied."""
+
+    def __init__(self, bits: np.ndarray, log2: int):
+        self.bits, self.shift = bits, np.uint64(64 - log2)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        at = values.view(np.uint64) >> self.shift
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def marks(values: DataFrame, column: str, log2: int = 26) -> Marks:
+    """The filter over a column of hashes, made by an aggregate.  2**log2 bits (8 MB), however many values there are."""
+    at = F.shiftrightunsigned(F.col(column), 64 - log2)
+    words = values.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - log2}) & 63 as int))")).alias("bits"))
+    bits = np.zeros(1 << (log2 - 6), np.uint64)
+    rows = words.toArrow()
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return Marks(bits, log2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -433,7 +433,52 @@ def test_substrings(spark):
     found = substrings.remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").collect()
     order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, found), key=order) == sorted(expected, key=order)
+    cut = substrings.remove_repeats(df, block_segments=1).select("doc_id", "n_words", "n_removed", "kept_sha256", "kept").collect()
+    assert sorted(map(tuple, cut), key=order) == sorted(expected, key=order)
     assert substrings.remove_repeats(table(spark, [])).count() == 0
+    with pytest.raises(TypeError):
+        substrings.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_factors_are_those_of_a_greedy_parse():
+    rng = random.Random(4)
+    for size in (2, 4):
+        for _ in range(60):
+            runs = [[rng.randrange(3) for _ in range(rng.randrange(1, 25))] for _ in range(5)]
+            order = rng.sample(range(5), 5)
+            where = [(order[r], k) for r, run in enumerate(runs) for k in range(len(run))]
+            lengths = np.array([len(r) for r in runs])
+            index = substrings.Index(np.array([x for r in runs for x in r]), lengths)
+            ids, start = (np.array([w[k] for w in where]) for k in (0, 1))
+            longest = index.earlier(substrings._dense(ids, start), size)
+
+            def best(r, k, runs=runs, order=order, size=size):
+                """The longest run from word k of run r that begins earlier in the order of runs and words."""
+                out = 0
+                for q, other in enumerate(runs):
+                    for j in range(len(other)):
+                        if (order[q], j) < (order[r], k):
+                            n = 0
+                            while k + n < len(runs[r]) and j + n < len(other) and runs[r][k + n] == other[j + n]:
+                                n += 1
+                            out = max(out, n)
+                return out if out >= size else 0
+
+            assert longest.tolist() == [best(r, k) for r, run in enumerate(runs) for k in range(len(run))]
+            greedy, at = [], 0
+            for r, run in enumerate(runs):
+                k = 0
+                while k + size <= len(run):
+                    n = best(r, k)
+                    if n:
+                        greedy.append((at + k, n))
+                    k += max(n, 1)
+                at += len(run)
+            place, words = substrings.parse(index, longest, size)
+            found = list(zip(place.tolist(), words.tolist(), strict=True))
+            assert sorted(found[: len(greedy)]) == greedy
+            covered = {p + x for p, n in found for x in range(n - size + 1)}
+            assert covered == {p for p in range(len(longest)) if longest[p]}
 
 
 def test_blocks_over_many_batches(spark):
