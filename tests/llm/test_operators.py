@@ -177,7 +177,7 @@ def brute_vectors(rows, cosine=0.98):
     return sorted(out)
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = []
     for c in range(12):
@@ -190,23 +190,49 @@ def test_embeddings(spark):
     expected = [(a, b, c, d) for a, b, c, d in brute_vectors([(r[0], r[1], r[2]) for r in rows])]
     assert found == [(a, b, c, d or a == -1) for a, b, c, d in expected]
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
-
-
-def test_every_pair_within_the_angle_shares_the_nearer_ones_direction():
-    rng = np.random.default_rng(1)
-    for dim, bits in ((64, 8), (24, 14), (3, 6)):
-        x = rng.normal(size=(300, dim))
-        y = x + rng.normal(size=x.shape) * 0.15 * np.linalg.norm(x, axis=1, keepdims=True) / np.sqrt(dim)
-        both = np.concatenate([x, y])
-        both /= np.linalg.norm(both, axis=1, keepdims=True)
-        angle = np.arccos(0.98)
-        near, own, row, code = embeddings.list_decode(both, bits, angle)
-        lists = [set(code[row == k].tolist()) for k in range(len(both))]
-        for a in range(300):
-            b = a + 300
-            if both[a] @ both[b] >= 0.98:
-                nearer, other = (a, b) if near[a] <= near[b] else (b, a)
-                assert own[nearer] in lists[other]
+    monkeypatch.setattr(embeddings, "BLOCK", 3)
+    blocks = sorted((r[0] if r[0] is not None else -1, r[1], r[2] if r[2] is not None else -1, bool(r[3])) for r in embeddings.near_duplicates(df).collect())
+    assert blocks == found
+    with pytest.raises(TypeError):
+        embeddings.near_duplicates(df.withColumn("label", F.lit("x")))
+
+
+@pytest.mark.parametrize("dim", [16, 64, 384])
+def test_filters_find_pairs_at_the_least_cosine(dim):
+    """Recall at cosine 0.98 exactly, and how few of the directions a vector looks up, whatever their number."""
+    rng = np.random.default_rng(dim)
+    x, z = rng.normal(size=(2, 1500, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.98 * x + np.sqrt(1 - 0.98**2) * z])
+    for bits in (8, 14, 18) if dim > 16 else (8, 14):
+        row, code = embeddings.list_decode(both, bits)
+        lists = [set(c.tolist()) for c in np.split(code, np.searchsorted(row, np.arange(1, len(both))))]
+        assert np.mean([bool(lists[k] & lists[k + 1500]) for k in range(1500)]) >= 0.99
+        assert len(code) / len(both) < 12 and len(code) / len(both) / (embeddings.BOOKS << bits) < 0.01
+
+
+def test_pairs_of_buckets_count_once(monkeypatch):
+    """Small and large buckets against each other and against all pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5, 12)).repeat(30, axis=0) + rng.normal(size=(150, 12)) * 0.15
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    row, code = embeddings.list_decode(x, 6)
+    lists = np.split(code, np.searchsorted(row, np.arange(1, len(x))))
+    found = {}
+    for small in (1, 200):
+        monkeypatch.setattr(embeddings, "SMALL", small)
+        pairs = []
+        for c in np.unique(code):
+            who = row[code == c]
+            padded = np.array([[*own, *(-1 - 100 * w - np.arange(40 - len(own)))] for w, own in ((w, lists[w].tolist()) for w in who)])
+            for i, j in embeddings.near_pairs(x[who], padded, np.full(len(who), c), [(0, len(who))], 0.98):
+                pairs += zip(who[i].tolist(), who[j].tolist(), strict=True)
+        assert len(pairs) == len(set(pairs))
+        found[small] = set(pairs)
+    exact = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1)), strict=True)}
+    assert found[1] == found[200] <= exact and len(found[1]) >= 0.99 * len(exact) > 100
 
 
 # 5
