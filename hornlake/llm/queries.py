@@ -128,14 +128,40 @@ ORACLE_SQL: dict[str, str] = {
           SELECT r.source, r.source_size,
                  CASE WHEN r.ratio < free.level THEN r.cap::DOUBLE ELSE r.weight * free.level END AS target
           FROM r CROSS JOIN free),
+        -- where each source's share of 65,536 cells ends, and the van der Corput slots (bit-reversed cells) in it, ranked
+        c AS (
+          SELECT *, least(65536, ceil(sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER () * 65536))::BIGINT AS cell_end
+          FROM t WHERE target > 0),
+        e AS (SELECT *, coalesce(lag(cell_end) OVER (ORDER BY source NULLS LAST), 0) AS cell FROM c),
+        u AS (
+          SELECT source, round(target)::BIGINT AS line, unnest(CASE WHEN cell_end > cell THEN range(cell, cell_end) ELSE [-1] END) AS cell FROM e),
+        v AS (
+          SELECT source, line,
+                 CASE WHEN cell < 0 THEN 65536 ELSE list_sum([((cell >> b) & 1) << (15 - b) for b in range(16)]) END::BIGINT AS slot
+          FROM u),
+        w AS (
+          SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank,
+                 ceil(line / count(*) OVER (PARTITION BY source))::BIGINT AS block, line
+          FROM v),
+        b AS (SELECT source, slot, rank, rank * block AS from_word, least((rank + 1) * block, line) AS to_word FROM w WHERE rank * block < line),
         p AS (
-          SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS line,
+          SELECT d.doc_id, d.source, d.size, t.source_size, t.target, round(t.target)::BIGINT AS line, row_number() OVER () AS row,
                  (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
-          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               CASE WHEN source_size = 0 THEN 0
-                    ELSE (line // source_size) * size + greatest(0, least(start + size, line % source_size) - start) END::BIGINT AS taken
-        FROM p""",
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        q AS (
+          SELECT row, source, start + n * source_size AS first, least(start + n * source_size + size, line) AS last
+          FROM (SELECT *, unnest(range(4)) AS n FROM p WHERE size > 0) WHERE start + n * source_size < line),
+        x AS (SELECT source, max(to_word - from_word) AS block FROM b GROUP BY source),
+        y AS (
+          SELECT q.*, unnest(range(first // block, (last - 1) // block + 1)) AS at
+          FROM q JOIN x ON q.source IS NOT DISTINCT FROM x.source),
+        f AS (
+          SELECT row, sum(least(last, to_word) - greatest(first, from_word))::BIGINT AS taken,
+                 arg_min(struct_pack(slot, rank, o := greatest(first, from_word) - from_word), (slot, greatest(first, from_word))) AS h
+          FROM y JOIN b ON y.at = b.rank AND y.source IS NOT DISTINCT FROM b.source GROUP BY row)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken,
+               h.slot::BIGINT AS first_slot, h.rank::BIGINT AS first_rank, h.o::BIGINT AS first_offset
+        FROM p LEFT JOIN f USING (row)""",
     "op6_decontaminate": r"""
         WITH d AS (
           SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w

@@ -7,7 +7,9 @@ first, so prefix sums give the level at which no source is above its cap.
 Schedule: the van der Corput points of 2**slot_bits slots are bit-reversed slot numbers.  Mapped through the
 cumulative targets each falls into one source, so every stretch of the schedule holds the sources in proportion.
 A source's slots, ranked by slot number, are its blocks of equal numbers of tokens, laid end to end over its
-documents in a shuffled order, again and again until its target is met.  A document takes what its blocks cover.
+documents in a shuffled order, again and again until its target is met.  A document takes what its blocks cover, and its
+first slot, the rank of that block and the offset in it tell where in the mix its words come: blocks in order of
+slot, and the documents of a block in order of offset, are the mix (`sequence` lists it, a row for each piece).
 
 Scale: the schedule has 2**slot_bits rows whatever the data, and one row for each source.  Documents are narrow rows
 (id, size, source, shuffle key).  Positions come from two-level sums over `buckets` ranges of the shuffle key, so
@@ -109,8 +111,8 @@ def positions(docs: DataFrame, per_source: DataFrame, *, buckets: int = 256) ->
     )
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), slot_bits: int = 16, buckets: int = 256) -> DataFrame:
-    """id, size, source_size, target, taken of every document, in words."""
+def _laid_out(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, max_repeats: int, weights: tuple[int, ...], slot_bits: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Every document with its place on its source's line, and the pieces of the mix: row, slot, rank, offset, words."""
     prepare(docs.sparkSession)
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -132,15 +134,40 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rounds = F.expr(f"filter(sequence(0L, {max_repeats}L), n -> size > 0 and start + n * source_size < line)")
     touched = (
         placed.filter(F.col("size") > 0)
-        .select("row", "doc_id", "source", "size", "start", "source_size", "block", "line", F.explode(rounds).alias("n"))
+        .select("row", "source", "size", "start", "source_size", "block", "line", F.explode(rounds).alias("n"))
         .withColumn("a", F.col("start") + F.col("n") * F.col("source_size"))
         .withColumn("b", F.least(F.col("a") + F.col("size"), F.col("line")))
         .withColumn("rank", F.explode(F.expr("sequence(a div block, (b - 1) div block)")))
         .select("row", F.col("source").alias("of"), F.col("rank").alias("at"), "a", "b")
     )
-    taken = (
-        touched.join(slots, F.col("of").eqNullSafe(F.col("source")) & (F.col("at") == F.col("rank")))
-        .groupBy(F.col("row").alias("row_"))
-        .agg(F.sum(F.least("b", "to_word") - F.greatest("a", "from_word")).alias("taken"))
+    begin = F.greatest("a", "from_word")
+    pieces = touched.join(slots, F.col("of").eqNullSafe(F.col("source")) & (F.col("at") == F.col("rank"))).select(
+        "row", "slot", "rank", (begin - F.col("from_word")).alias("offset"), (begin - F.col("a")).alias("first_word"), (F.least("b", "to_word") - begin).alias("words")
+    )
+    return placed, pieces
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), slot_bits: int = 16, buckets: int = 256) -> DataFrame:
+    """id, size, source_size, target, taken of every document, in words, and first_slot, first_rank, first_offset of its first piece (null if none)."""
+    placed, pieces = _laid_out(docs, id_col=id_col, text_col=text_col, source_col=source_col, max_repeats=max_repeats, weights=weights, slot_bits=slot_bits, buckets=buckets)
+    taken = pieces.groupBy(F.col("row").alias("row_")).agg(F.sum("words").alias("taken"), F.min(F.struct("slot", "rank", "offset")).alias("first"))
+    return placed.join(taken, F.col("row") == F.col("row_"), "left").select(
+        F.col("doc_id").alias(id_col),
+        "size",
+        "source_size",
+        F.col("target").cast("double").alias("target"),
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.col("first.slot").alias("first_slot"),
+        F.col("first.rank").alias("first_rank"),
+        F.col("first.offset").alias("first_offset"),
     )
-    return placed.join(taken, F.col("row") == F.col("row_"), "left").select(F.col("doc_id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def sequence(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), slot_bits: int = 16, buckets: int = 256) -> DataFrame:
+    """The mix itself, a row for each piece, in order of slot and offset: slot, offset, id, source, first_word (in the document), words.
+
+    A document's piece is that many of its words from `first_word` on.
+    """
+    placed, pieces = _laid_out(docs, id_col=id_col, text_col=text_col, source_col=source_col, max_repeats=max_repeats, weights=weights, slot_bits=slot_bits, buckets=buckets)
+    named = placed.select(F.col("row").alias("row_"), F.col("doc_id").alias(id_col), F.col("source").alias(source_col))
+    return pieces.join(named, F.col("row") == F.col("row_")).select("slot", "offset", id_col, source_col, "first_word", "words").orderBy("slot", "offset")

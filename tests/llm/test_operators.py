@@ -275,6 +275,39 @@ def test_source_mix(spark, case):
     assert source_mix.mix(df.limit(0)).count() == 0
 
 
+def test_every_prefix_of_the_mix_holds_the_weights(spark):
+    """Of the mix's first words, however many, each source has its share, and pieces rebuild what the documents take."""
+    rng = random.Random(12)
+    rows = [(k, " ".join("w" for _ in range(rng.randrange(1, 60))), rng.choice(["a", "a", "a", "b", "c"])) for k in range(400)]
+    rows += [(5, rows[5][1], "a"), (5, rows[5][1], "a"), (6, "x y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = source_mix.sequence(df, slot_bits=10, buckets=8).collect()
+    found = source_mix.mix(df, slot_bits=10, buckets=8).collect()
+    target = {r["source_size"]: r["target"] for r in found}
+    sizes = {s: sum(len(SPACED(t)) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
+    share = {s: target[n] / sum(target[m] for m in sizes.values()) for s, n in sizes.items()}
+    block = {}
+    for p in pieces:
+        block[p["source"], p["slot"]] = block.get((p["source"], p["slot"]), 0) + p["words"]
+    done, total = dict.fromkeys(sizes, 0), 0
+    for p in pieces:
+        done[p["source"]] += p["words"]
+        total += p["words"]
+        # van der Corput points: a discrepancy of a few blocks for each bit of the schedule
+        assert all(abs(done[s] - share[s] * total) <= 12 * max(block.values()) for s in sizes)
+    taken = {}
+    for p in pieces:
+        taken[p["doc_id"]] = taken.get(p["doc_id"], 0) + p["words"]
+    own = {}
+    for r in found:
+        own[r["doc_id"]] = own.get(r["doc_id"], 0) + r["taken"]
+    assert taken == {k: n for k, n in own.items() if n}
+    first = {}
+    for p in pieces:
+        first.setdefault(p["doc_id"], (p["slot"], p["offset"]))
+    assert all((r["first_slot"], r["first_offset"]) == first[r["doc_id"]] for r in found if r["taken"] and r["doc_id"] not in (5, 6))
+
+
 def test_schedule_spreads_sources(spark):
     goals = spark.createDataFrame([("a", 100, 1, 600.0), ("b", 100, 2, 300.0), (None, 100, 3, 100.0)], "source string, source_size long, weight long, target double")
     rows = source_mix.schedule(goals, slot_bits=10).collect()

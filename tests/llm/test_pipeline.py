@@ -34,7 +34,7 @@ def stages(spark, tmp_path_factory):
 def test_columns(stages):
     assert len(corpus_pipeline.STAGES) == 5
     assert all(list(x.columns) == list(stages[0].columns) for x in stages[1:5])
-    assert list(stages[5].columns) == ["doc_id", "size", "source_size", "target", "taken"]
+    assert list(stages[5].columns) == ["doc_id", "size", "source_size", "target", "taken", "first_slot", "first_rank", "first_offset"]
 
 
 def test_language_stage(spark, stages):
