@@ -68,13 +68,33 @@ def test_token_counts(spark):
             n = len(library.encode(t, add_special_tokens=False).ids)
             assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 20)
     assert token_counts.token_counts(table(spark, []), path).count() == 0
+    frequent = token_counts.frequent_lengths(table(spark, texts), path, table_entries=40, share=0)
+    counts = {}
+    for t in texts:
+        for x in token_counts.pre_tokens()(t or ""):
+            counts[x] = counts.get(x, 0) + 1
+    assert len(frequent) == 40 and sorted(counts[x] for x in frequent) == sorted(counts.values())[-40:]
+    assert all(n == len(library.encode(x, add_special_tokens=False).ids) for x, n in frequent.items()) and max(frequent.values()) > 1
+    assert token_counts.unpacked(token_counts.packed(frequent)) == frequent
+
+
+def test_sketch_keeps_what_is_frequent():
+    rng = random.Random(8)
+    sketch, counts = token_counts.Sketch(50), {}
+    for _ in range(400):
+        items = [f"w{min(int(rng.paretovariate(0.9)), 5000)}" for _ in range(100)]
+        sketch.add(items)
+        for x in items:
+            counts[x] = counts.get(x, 0) + 1
+    top = sorted(counts, key=counts.get)[-20:]
+    assert len(sketch.counts) <= 100 and set(top) <= set(sketch.counts) and all(sketch.counts[x] <= counts[x] for x in sketch.counts)
 
 
 def test_pre_tokens_of_stable_characters():
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    counter = token_counts.Counter(path, token_counts.frequent_lengths(path), 10_000)
+    counter = token_counts.Counter(path, {}, 10_000)
     for c in [*range(1, 0x530), *range(0x2010, 0x205F), *range(0x3000, 0x3100), 0xD7A3, 0xE000, 0x1F600, 0x31350]:
         text = f"a{chr(c)}b 1{chr(c)}2 .{chr(c)}, {chr(c)}{chr(c)} x"
         assert counter.count(text) == counter.encoded(text), hex(c)
