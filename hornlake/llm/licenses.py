@@ -3,7 +3,7 @@
 The automaton holds every run of words of every passage.  A text's words are streamed through it; after each word its
 state is the longest run that ends there and occurs in some passage: the matching statistics.  Runs of `min_match`
 words and more are places in passages; places in one passage that go forward in both text and passage, with gaps of
-at most `max_gap` words, are chained, and a chain covers a span of the text.  A chain that covers `min_cover` of its
+at most `max_gap` words, are chained, each to its best predecessor, and a chain covers a span of the text.  A chain that covers `min_cover` of its
 passage names the passage's label; the score is the largest such share, or 1 where a base phrase stands.
 
 Words outside the passages' vocabulary cannot be part of a run, so only stretches of vocabulary words, found by
@@ -16,6 +16,7 @@ places, empty labels and score 0.  The operator's columns replace columns of the
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -150,24 +151,34 @@ class Scanner:
                     yield passage, at + i + 1, end, length
 
     def chains(self, places: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, float]]:
-        """Passage, first and end word, and covered share of the passage, of each chain of places."""
+        """Passage, first and end word, and covered share of the passage, of the best chains of places.
+
+        Each place takes the predecessor by which most of the passage is covered; chains are read off from the best
+        end on, and places of the same stretch of the text that are left over make no chain of their own.
+        """
         by_passage: dict[int, list[tuple[int, int, int]]] = {}
         for passage, end, there, length in places:
             by_passage.setdefault(passage, []).append((end, there, length))
         for passage, runs in sorted(by_passage.items()):
-            best = None  # first, end, end in the passage, covered
-            for end, there, length in sorted(runs):
-                fresh = None
-                if best and there > best[2] and 0 < end - best[1] <= length + self.max_gap:
-                    fresh = min(length, there - best[2], end - best[1])
-                if fresh:
-                    best = (best[0], end, there, best[3] + fresh)
-                else:
-                    if best:
-                        yield passage, best[0], best[1], best[3] / self.sizes[passage]
-                    best = (end - length, end, there, length)
-            if best:
-                yield passage, best[0], best[1], best[3] / self.sizes[passage]
+            runs.sort()
+            reach = self.max_gap + max(length for *_, length in runs)
+            covered, first = [length for *_, length in runs], [end - length for end, _, length in runs]
+            for i, (end, there, length) in enumerate(runs):
+                for j in range(i - 1, -1, -1):
+                    end_j, there_j, _ = runs[j]
+                    if end - end_j > reach:
+                        break
+                    if there > there_j and 0 < end - end_j <= length + self.max_gap:
+                        n = covered[j] + min(length, there - there_j, end - end_j)
+                        if n > covered[i]:
+                            covered[i], first[i] = n, first[j]
+            taken: list[tuple[int, int]] = []
+            for i in sorted(range(len(runs)), key=lambda i: (-covered[i], runs[i])):
+                a, b = first[i], runs[i][0]
+                k = bisect_left(taken, (a, b))
+                if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                    taken.insert(k, (a, b))
+                    yield passage, a, b, covered[i] / self.sizes[passage]
 
 
 @lru_cache(4)
