@@ -3,8 +3,10 @@
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass the kind's check.  The model
 (tagger.py) is trained in numpy when first used, with a fixed seed, on labelled spans: sentences of invented words
 with values of each kind, and a bounded sample of `sample_docs` documents (low in a hash of their beginnings,
-`sample_chars` characters of each) labelled with their base spans.  It tags every character of every text; a run of
-one label becomes a span if it can be of its kind and touches no base span.  Base spans always stay.
+`sample_chars` characters of each) labelled with their base spans.  It reads every text wherever a value can be: around
+an at sign, also a spelled one, and around four digits within 16 characters (`possible`); no other character can be of a
+span.  A text's labels are the best sequence for the whole text; a run of one label becomes a span if it can be of its
+kind and touches no base span.  Base spans always stay.
 
 Defined results: null and empty texts have no spans.  Offsets are code points, ends exclusive.  The operator's
 columns replace columns of the same names.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +104,20 @@ def plausible(kind: str, text: str) -> bool:
     return bool(_SEPARATED_PHONE.fullmatch(text)) and _is_phone(text)
 
 
+_SPELLED = re.compile(r"[\[(]at|\bdot\b", re.I)
+
+
+def possible(texts: list[str]) -> np.ndarray:
+    """The places, in the joined texts, of characters that a span other than a base span must have near."""
+    joined = "".join(texts)
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    digit = (c >= 48) & (c <= 57)
+    sums = np.concatenate([[0], np.cumsum(digit)])
+    ahead = sums[np.minimum(np.arange(len(c)) + 16, len(c))] - sums[:-1]
+    at = np.flatnonzero((digit & (ahead >= 4)) | (c == 64))
+    return np.union1d(at, np.array([m.start() for m in _SPELLED.finditer(joined)], np.int64)).astype(np.int64)
+
+
 _RUNS = re.compile(rb"\x01+|\x02+|\x03+|\x04+")
 
 
@@ -115,16 +132,22 @@ def model_spans(text: str, labels: np.ndarray, base: list[Span]) -> list[Span]:
         while a < b and text[b - 1] in " ,;:.\n\t":
             b -= 1
         if a < b and plausible(kind, text[a:b]) and not any(x < b and a < y for x, y, _ in base):
-            if not (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()):
+            before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+            # A word may run into a number, but a value is not cut out of a longer number or name.
+            if not (before.isdigit() or after.isalnum() or (kind == "email" and before.isalnum())):
                 out.append((a, b, kind))
     return out
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", sample_docs: int = 400, sample_chars: int = 2000, steps: int = 400, batch: int = 64, length: int = 64, seed: int = 1) -> Weights:
+def fit(docs: DataFrame, *, text_col: str = "text", sample_docs: int = 400, sample_chars: int = 2000, steps: int = 400, batch: int = 160, length: int = 56, seed: int = 1) -> Weights:
     """Weights of the tagger; two thirds of the training text are generated, the rest is the sample."""
     start = docs.select(F.substring(F.col(text_col), 1, sample_chars).alias("t"))
     rows = sorted((r["h"], r["t"]) for r in hash_sample(start, "t", sample_docs).collect())[:sample_docs]
-    sample = "\n".join(t for _, t in rows)
+    return dict(_fitted("\n".join(t for _, t in rows), steps, batch, length, seed))
+
+
+@lru_cache(2)
+def _fitted(sample: str, steps: int, batch: int, length: int, seed: int) -> Weights:
     x, y = classes(sample), np.zeros(len(sample), np.int64)
     for a, b, kind in base_spans(sample):
         y[a:b] = 1 + KINDS.index(kind)
@@ -172,7 +195,7 @@ def find_pii(docs: DataFrame, weights: Weights, *, text_col: str = "text", redac
             given = part.column(at).to_pylist()
             texts = [t or "" for t in given]
             rows, columns = [], list(part.columns)
-            for k, (text, labels) in enumerate(zip(texts, tagger.tag(texts), strict=True)):
+            for k, (text, labels) in enumerate(zip(texts, tagger.tag(texts, possible(texts)), strict=True)):
                 base = base_spans(text)
                 spans = sorted([(*s, True) for s in base] + [(*s, False) for s in model_spans(text, labels, base)], key=lambda s: (s[0], KINDS.index(s[2])))
                 rows.append([{"kind": kind, "start": a, "end": b, "base": own} for a, b, kind, own in spans])

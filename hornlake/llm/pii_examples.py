@@ -80,16 +80,16 @@ class Examples:
             ]
         )
 
-    def text(self, length: int) -> tuple[str, list[tuple[int, int, int]]]:
-        """A text and its spans: start, end, label."""
+    def text(self, length: int, density: float = 0.11) -> tuple[str, list[tuple[int, int, int]]]:
+        """A text and its spans: start, end, label; `density` is the share of values among its parts."""
         rng, out, spans, at = self.rng, [], [], 0
         while at < length:
             x = rng.random()
             label = 0
-            if x < 0.11:
+            if x < density:
                 label = int(rng.integers(1, 1 + len(KINDS)))
                 part = getattr(self, KINDS[label - 1])()
-            elif x < 0.2:
+            elif x < density + 0.09:
                 part = self.other()
             else:
                 part = self.word()
@@ -102,7 +102,7 @@ class Examples:
         return "".join(out), spans
 
     def batches(self, steps: int, batch: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        text, spans = self.text(steps * batch * length // 4)  # each stretch is seen four times, cut at other places
+        text, spans = self.text(steps * batch * length // 4, density=0.2)  # each stretch is seen four times, cut at other places
         x, y = classes(text), np.zeros(len(text), np.int64)
         for a, b, label in spans:
             y[a:b] = label

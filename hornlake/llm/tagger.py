@@ -1,8 +1,11 @@
 """A character-level bidirectional LSTM with CRF transitions, trained and run in numpy.
 
-Texts are cut into overlapping windows.  Each window is decoded by Viterbi over the CRF; where windows overlap, a
-character takes the label of the window in which it lies deeper, so that the labels of a text form one sequence from
-which spans are read, whatever the windows' cuts.
+Texts are read in overlapping windows, which give each character scores of its labels; where windows overlap, a
+character takes those of the window in which it lies deeper.  The joined scores of a text are decoded by one Viterbi over
+the CRF, so that its labels are the best sequence as a whole, wherever the windows were cut.
+
+A caller may name the characters near which labels other than 0 are possible at all.  Then only stretches around them
+are read; all other characters have label 0 and the best sequence is the one under that condition.
 """
 
 from __future__ import annotations
@@ -67,33 +70,34 @@ def _back(w: Weights, d: str, x: np.ndarray, states: tuple, dh_out: np.ndarray)
     return {"T" + d: one_hot.T @ flat, "U" + d: h[:-1].reshape(-1, hidden).T @ flat}
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def _crf(e: np.ndarray, a: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Mean negative log likelihood of labels y under emissions e (time, batch, label), and its gradients."""
+    """Mean negative log likelihood of labels y under scores e (time, batch, label), and its gradients.
+
+    Forward and backward sums are kept as probabilities, scaled at each step.
+    """
     steps, batch, k = e.shape
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = e[0]
-    for t in range(1, steps):
-        alpha[t] = e[t] + _log_sum(alpha[t - 1][:, :, None] + a, 1)
+    top, most = e.max(axis=2, keepdims=True), a.max()
+    own, move = np.exp(e - top), np.exp(a - most)
+    alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty((steps, batch, 1), e.dtype)
+    for t in range(steps):
+        now = own[t] * (alpha[t - 1] @ move) if t else own[0]
+        scale[t] = now.sum(axis=1, keepdims=True)
+        alpha[t] = now / scale[t]
     for t in range(steps - 2, -1, -1):
-        beta[t] = _log_sum(a[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-    total = _log_sum(alpha[-1], 1)
-    de = np.exp(alpha + beta - total[None, :, None])
-    da = np.zeros_like(a)
-    for t in range(1, steps):
-        da += np.exp(alpha[t - 1][:, :, None] + a + (e[t] + beta[t])[:, None, :] - total[:, None, None]).sum(0)
+        beta[t] = (own[t + 1] * beta[t + 1]) @ move.T / scale[t + 1]
+    de = alpha * beta
+    into = (own[1:] * beta[1:] / scale[1:]).reshape(-1, k)
+    da = move * (alpha[:-1].reshape(-1, k).T @ into)
+    total = np.log(scale).sum(axis=(0, 2)) + top.sum(axis=(0, 2)) + (steps - 1) * most
     rows = np.arange(batch)
-    gold = e[np.arange(steps)[:, None], rows, y].sum(0) + a[y[:-1], y[1:]].sum(0)
-    de[np.arange(steps)[:, None], rows, y] -= 1
-    np.subtract.at(da, (y[:-1].ravel(), y[1:].ravel()), 1)
+    at = np.arange(steps)[:, None]
+    gold = e[at, rows, y].sum(0) + a[y[:-1], y[1:]].sum(0)
+    de[at, rows, y] -= 1
+    da -= np.bincount((y[:-1] * k + y[1:]).ravel(), minlength=k * k).reshape(k, k)
     return float((total - gold).mean()), de / batch, da / batch
 
 
-def train(batches, labels: int, hidden: int = 8, rate: float = 0.02, seed: int = 5) -> Weights:
+def train(batches, labels: int, hidden: int = 12, rate: float = 0.03, seed: int = 5) -> Weights:
     """Fits the tagger to an iterable of (classes, labels), both (time, batch), by Adam."""
     rng = np.random.default_rng(seed)
     w: Weights = {}
@@ -123,8 +127,8 @@ def train(batches, labels: int, hidden: int = 8, rate: float = 0.02, seed: int =
 
 
 class Tagger:
-    def __init__(self, w: Weights, window: int = 256, overlap: int = 32, batch: int = 1024):
-        self.window, self.overlap, self.batch = window, overlap, batch
+    def __init__(self, w: Weights, window: int = 256, overlap: int = 64, batch: int = 1024, context: int = 32, cells: int = 1 << 19):
+        self.window, self.overlap, self.batch, self.context, self.cells = window, overlap, batch, context, cells
         self.hidden, self.labels = w["Wf"].shape
         half = np.ones(4 * self.hidden, np.float32)
         half[: 3 * self.hidden] = 0.5  # sigmoid(x) = (1 + tanh(x / 2)) / 2
@@ -157,58 +161,84 @@ class Tagger:
                 out[t] += up @ h
         return out
 
-    def _viterbi(self, e: np.ndarray) -> np.ndarray:
+    def _viterbi(self, e: np.ndarray, lengths: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+        """The best paths through scores (time, label, batch) of sequences, longest first.
+
+        `inner` and `outer` say which begin and end within their text, next to a character of label 0.
+        """
         steps, k, batch = e.shape
-        came = np.empty((steps, k, batch), np.uint8)
-        best = e[0].copy()
+        came = np.zeros((steps, k, batch), np.uint8)
+        best = e[0] + np.where(inner, self.moves[0][:, None], 0)
+        last = best + np.where(outer, self.moves[:, 0][:, None], 0)
         for t in range(1, steps):
-            now = np.empty_like(best)
-            for j in range(k):
-                top, arg = best[0] + self.moves[0, j], np.zeros(batch, np.uint8)
-                for i in range(1, k):
-                    other = best[i] + self.moves[i, j]
-                    arg[other > top] = i
-                    np.maximum(top, other, out=top)
-                came[t, j] = arg
-                now[j] = top
-            best = now + e[t]
-        path = np.empty((steps, batch), np.uint8)
-        path[-1] = best.argmax(0)
+            n = int(np.searchsorted(-lengths, -t, side="left"))  # those longer than t
+            now = best[:, None, :n] + self.moves[:, :, None]
+            came[t, :, :n] = now.argmax(axis=0)
+            best = now.max(axis=0) + e[t, :, :n]
+            last[:, :n] = best + np.where(outer[:n], self.moves[:, 0][:, None], 0)
+        path = np.zeros((steps, batch), np.uint8)
         rows = np.arange(batch)
-        for t in range(steps - 1, 0, -1):
-            path[t - 1] = came[t, path[t], rows]
+        label = last.argmax(axis=0).astype(np.uint8)
+        for t in range(steps - 1, -1, -1):
+            n = int(np.searchsorted(-lengths, -t, side="left"))
+            path[t, :n] = label[:n]
+            if t:
+                label[:n] = came[t, label[:n], rows[:n]]
         return path
 
-    def tag(self, texts: list[str]) -> list[np.ndarray]:
-        """A label for each character of each text."""
+    def _stretches(self, ends: np.ndarray, near: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds of what is read, and the bounds of the texts they lie in."""
+        starts = np.concatenate([[0], ends[:-1]])
+        if near is None:
+            some = ends > starts
+            return starts[some], ends[some], starts[some], ends[some]
+        text = np.searchsorted(ends, near, side="right")
+        a, b = np.maximum(near - self.context, starts[text]), np.minimum(near + self.context + 1, ends[text])
+        new = np.append(True, (a[1:] > b[:-1]) | (text[1:] != text[:-1]))[: len(a)]
+        old = np.append(new[1:], True)[: len(a)]
+        return a[new], b[old], starts[text[new]], ends[text[new]]
+
+    def tag(self, texts: list[str], near: np.ndarray | None = None) -> list[np.ndarray]:
+        """A label for each character of each text; `near` are places in the joined texts around which to read, in order."""
         codes = classes("".join(texts))
         ends = np.cumsum([len(t) for t in texts])
         labels = np.zeros(len(codes), np.uint8)
+        a, b, text_a, text_b = self._stretches(ends, near) if len(codes) else [np.zeros(0, np.int64)] * 4
+        if not len(a):
+            return np.split(labels, ends[:-1])
+        place = np.cumsum(b - a) - (b - a)  # where a stretch's scores begin
+        scores = np.empty((int((b - a).sum()), self.labels), np.float32)
         step = self.window - self.overlap
-        start, first, last, stop = [], [], [], []
-        for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist() if len(ends) else [], ends.tolist(), strict=True):
-            if a == b:
-                continue
-            own = np.arange(a, max(a + 1, b - self.overlap), step)
-            start.append(own)
-            first.append(np.where(own == a, a, own + self.overlap // 2))
-            last.append(np.append(own[1:] + self.overlap // 2, b))
-            stop.append(np.full(len(own), b))
-        if not start:
-            return [labels[:0] for _ in texts]
-        start, first, last, stop = map(np.concatenate, (start, first, last, stop))
+        many = np.maximum(1, -(-(b - a - self.overlap) // step))
+        own = np.repeat(np.arange(len(a)), many)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        start = a[own] + nth * step
+        first = np.where(nth == 0, start, start + self.overlap // 2)
+        last = np.where(nth == many[own] - 1, b[own], start + step + self.overlap // 2)
+        stop = b[own]
         codes = np.append(codes, np.zeros(self.window, np.uint8))
         t = np.arange(self.window)[:, None]
-        order = np.argsort(stop - start < self.window, kind="stable")
+        order = np.argsort(-np.minimum(self.window, stop - start), kind="stable")
         for i in range(0, len(start), self.batch):
-            own = order[i : i + self.batch]
-            at = start[own][None, :] + t
-            length = int(min(self.window, (stop[own] - start[own]).max()))
-            at = at[:length]
-            x = np.where(at < stop[own], codes[at], 0)
-            path = self._viterbi(self._emissions(x))
-            keep = (at >= first[own]) & (at < last[own])
-            labels[at[keep]] = path[keep]
+            w = order[i : i + self.batch]
+            at = start[w][None, :] + t
+            at = at[: int(min(self.window, (stop[w] - start[w]).max()))]
+            e = self._emissions(np.where(at < stop[w], codes[at], 0))
+            keep = (at >= first[w]) & (at < last[w])
+            to = place[own[w]][None, :] + at - a[own[w]][None, :]
+            scores[to[keep]] = e.transpose(0, 2, 1)[keep]
+        order = np.argsort(a - b, kind="stable")
+        i = 0
+        while i < len(order):
+            longest = int((b - a)[order[i]])
+            s = order[i : i + max(1, min(self.batch, self.cells // longest))]
+            i += len(s)
+            lengths = (b - a)[s]
+            t = np.arange(longest)[:, None]
+            inside = t < lengths[None, :]
+            e = scores[np.where(inside, place[s][None, :] + t, 0)].transpose(0, 2, 1)
+            path = self._viterbi(e, lengths, a[s] > text_a[s], b[s] < text_b[s])
+            labels[(a[s][None, :] + t)[inside]] = path[inside]
         return np.split(labels, ends[:-1])
 
 
