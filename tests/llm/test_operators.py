@@ -68,14 +68,14 @@ def test_token_counts(spark):
             n = len(library.encode(t, add_special_tokens=False).ids)
             assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 20)
     assert token_counts.token_counts(table(spark, []), path).count() == 0
-    frequent = token_counts.frequent_lengths(table(spark, texts), path, table_entries=40, share=0)
+    frequent = token_counts.frequent_lengths(table(spark, texts), path, table_entries=40, share=0, least=1)
     counts = {}
     for t in texts:
         for x in token_counts.pre_tokens()(t or ""):
             counts[x] = counts.get(x, 0) + 1
     assert len(frequent) == 40 and sorted(counts[x] for x in frequent) == sorted(counts.values())[-40:]
     assert all(n == len(library.encode(x, add_special_tokens=False).ids) for x, n in frequent.items())
-    invented = token_counts.frequent_lengths(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), path, table_entries=2000)
+    invented = token_counts.frequent_lengths(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), path, table_entries=2000, least=2)
     assert sum(n > 1 for n in invented.values()) > 100
     assert token_counts.unpacked(token_counts.packed(frequent)) == frequent
 
@@ -143,14 +143,32 @@ def test_warc_parser_reads_plain_and_broken():
 # 3
 
 
+def brute_language(dictionaries, texts):
+    """Each text's pieces compressed with one plain dictionary after another."""
+    import zstandard as z
+
+    params = z.ZstdCompressionParameters.from_level(3, strategy=z.STRATEGY_LAZY2, min_match=3, window_log=17, hash_log=16, chain_log=16, search_log=4, format=z.FORMAT_ZSTD1_MAGICLESS, write_checksum=0, write_content_size=0, write_dict_id=0)
+    out = []
+    for t in texts:
+        raw = " ".join(re.findall(r"[^\W\d_]+", t.lower())).encode()
+        pieces = [raw[i : i + 2048] for i in range(0, len(raw), 2048)]
+        pieces += [raw[i:96] for i in [*range(2, 32, 2), *range(32, 96, 8)] if i < len(raw)]
+        sizes = sorted((sum(len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress(x)) for x in pieces), lang) for lang, d in dictionaries.items())
+        out.append((sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]) if raw else ("und", 0.0))
+    return out
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     dictionaries = language_id.fit_dictionaries(docs, ~language_id.held_out())
     assert sorted(dictionaries) == ["de", "en", "es", "fr"]
     rows = language_id.identify(docs.withColumn("held_out", language_id.held_out()).withColumn("score", F.lit("clash")), dictionaries).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
-    right = [r["lang"] == r["lang_pred"] for r in rows if r["held_out"] and len(r["text"]) > 100]
-    assert sum(right) / len(right) > 0.97
+    for least, most, share in ((0, 40, 0.8), (40, 100, 0.9), (100, 10**9, 0.97)):
+        right = [r["lang"] == r["lang_pred"] for r in rows if r["held_out"] and least <= len(r["text"]) < most and r["lang"]]
+        assert len(right) < 10 or sum(right) / len(right) > share, (least, len(right), sum(right) / len(right))
+    plain = brute_language(dictionaries, [r["text"] for r in rows[:150]])
+    assert [(r["lang_pred"], r["score"]) for r in rows[:150]] == plain
     assert all(0 <= r["score"] <= 1 for r in rows)
     odd = language_id.identify(table(spark, [None, "", "123 !!", "²", "中", "the and", "x" * 100_000]), dictionaries).orderBy("doc_id").collect()
     assert [r["lang_pred"] == "und" for r in odd] == [True, True, True, True, False, False, False] and odd[0]["rejected"]
