@@ -7,11 +7,12 @@ to windows on it; a pair survives if the window, aligned there, lies inside the
 bounds) and every word of it agrees.
 
 The index of the windows is broadcast in blocks of items: the items' bytes are summed first, and items are dealt
-into as many blocks as keep each under `block_bytes`.  Documents pass the blocks one after another without moving.
+into as many blocks as keep each under `block_bytes`.  Rarity is counted for the shingles of all blocks in one pass over
+the documents; then documents pass the blocks one after another without moving.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no window; equal windows
 of several items count for each; an item whose id is null hits words but is not named; the operator's columns
-replace columns of the same names.
+replace columns of the same names, and all other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hornlake.llm.shared import prepare
+from hornlake.llm.shared import prepare, unused
 from hornlake.llm.words import ALNUM, Words, slices, text_arrays, words_of
 
 SHINGLE = 3
@@ -148,15 +149,15 @@ _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
 def _pass(docs: DataFrame, index: Index) -> DataFrame:
-    """Adds what one block of items hits to the columns spans_ and items_."""
+    """Adds what one block of items hits to the last four columns: text, number of words, spans and items."""
     broadcast = docs.sparkSession.sparkContext.broadcast(index)
     names = docs.columns
-    at_spans, at_items = names.index("spans_"), names.index("items_")
+    at_text, at_words, at_spans, at_items = range(len(names) - 4, len(names))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = broadcast.value
-        for part in slices(batches, "text_"):
-            w = words_of(part, "text_", ALNUM, lower=True)
+        for part in slices(batches, names[at_text]):
+            w = words_of(part, names[at_text], ALNUM, lower=True)
             start, window = index.matches(w)
             columns = list(part.columns)
             spans, items = columns[at_spans].to_pylist(), columns[at_items].to_pylist()
@@ -169,7 +170,7 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
                     spans[i] = spans[i] + [{"first": int(a), "end": int(b)} for a, b in sorted({*zip(first.tolist(), ends.tolist(), strict=True)})]
                     items[i] = items[i] + sorted({index.ids[x] for y in set(window[mine].tolist()) for x in index.items[y]} - {None})
             columns[at_spans], columns[at_items] = pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))
-            columns[names.index("n_words_")] = pa.array(w.counts.astype(np.int64))
+            columns[at_words] = pa.array(w.counts.astype(np.int64))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(joined, docs.schema)
@@ -184,23 +185,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes) * (2 if total > block_bytes else 1))
     texts = docs.select(F.col(text_col).alias("text"))
-    out = docs.withColumns({"text_": F.col(text_col), "n_words_": F.lit(0).cast("long"), "spans_": F.array().cast(SPANS), "items_": F.array().cast("array<string>")})
+    text_, words_, spans_, items_ = unused(docs, 4)
+    out = docs.withColumns({text_: F.col(text_col), words_: F.lit(0).cast("long"), spans_: F.array().cast(SPANS), items_: F.array().cast("array<string>")})
+    windows, keys = [], []
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).distinct().orderBy("id", "text").collect()
-        windows = Windows([r["id"] for r in rows], [r["text"] for r in rows], size)
+        windows.append(Windows([r["id"] for r in rows], [r["text"] for r in rows], size))
         found: dict[int, list[np.ndarray]] = {}
-        for n, _, h in windows.shingles():
+        for n, _, h in windows[-1].shingles():
             found.setdefault(n, []).append(h[h != 0])
-        keys = {n: np.unique(np.concatenate(h)) for n, h in found.items()}
-        out = _pass(out, Index(windows, keys, rarity(texts, {n: k for n, k in keys.items() if len(k)}) if len(rows) else {}))
-    merged = F.expr("""aggregate(array_sort(spans_), cast(array() as array<struct<first:bigint,end:bigint>>), (m, s) ->
+        keys.append({n: np.unique(np.concatenate(h)) for n, h in found.items()})
+    all_keys = {n: np.unique(np.concatenate([k[n] for k in keys])) for n in keys[0]}
+    counts = rarity(texts, {n: k for n, k in all_keys.items() if len(k)}) if any(map(len, all_keys.values())) else {}
+    for own, key in zip(windows, keys, strict=True):
+        out = _pass(out, Index(own, key, {n: counts[n][np.searchsorted(all_keys[n], k)] for n, k in key.items() if len(k)}))
+    merged = F.expr(f"""aggregate(array_sort({spans_}), cast(array() as array<struct<first:bigint,end:bigint>>), (m, s) ->
         if(size(m) > 0 and element_at(m, -1).end >= s.first,
            concat(slice(m, 1, size(m) - 1), array(named_struct('first', element_at(m, -1).first, 'end', greatest(element_at(m, -1).end, s.end)))),
            concat(m, array(s))))""")
     return (
-        out.withColumn("hit_spans", F.when(F.size("spans_") == 0, F.array().cast(SPANS)).otherwise(merged))
-        .withColumn("n_words", F.col("n_words_"))
+        out.withColumn("hit_spans", F.when(F.size(spans_) == 0, F.array().cast(SPANS)).otherwise(merged))
+        .withColumn("n_words", F.col(words_))
         .withColumn("n_hit", F.expr("aggregate(hit_spans, 0L, (n, s) -> n + s.end - s.first)"))
-        .withColumn("items", F.array_sort(F.array_distinct("items_")))
-        .drop("text_", "n_words_", "spans_", "items_")
+        .withColumn("items", F.array_sort(F.array_distinct(items_)))
+        .select(*docs.columns, "n_words", "hit_spans", "n_hit", "items")
     )

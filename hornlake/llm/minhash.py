@@ -6,7 +6,8 @@ Pairs whose signatures differ at up to `allowed(percent)` positions are found wi
 split into chunks, so many that by the pigeonhole principle one of them has at most one error, and each chunk is
 entered once for each position that may be wrong, under the hash of the others.
 
-Whole classes of equal sets are represented by one document throughout; only the final join goes back to all rows.
+Whole classes of equal sets are represented by one document throughout, named by a hash of its id and text, so that
+rows which share an id stay apart; only the final join goes back to all rows.
 Within a bucket, candidates are first its smallest document against each other (linear); links confirmed on full
 sets give components.  Buckets whose documents are not yet in one component then compare all their pairs across
 components by signature, in blocks of bounded size; what leaves a task is a forest of the near ones.  Its trees are
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hornlake.llm.components import components, forest
 from hornlake.llm.shared import discard, prepare, rows_with, settled
@@ -89,7 +91,7 @@ def _sketched(n: int):
                 two.append(np.bitwise_xor.reduce(mix(items)) if len(items) else np.uint64(0))
                 signs.append(signature(items).tobytes() if len(items) else None)
             longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *longs, pa.array(signs, pa.binary())], names=["id", "n", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(counts, pa.int64()), *longs, pa.array(signs, pa.binary())], names=["id", "row", "th", "n", "h1", "h2", "sig"])
 
     return sketched
 
@@ -261,17 +263,21 @@ def _links(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable by links) and kept (id = component_id) of every row.
+    """id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id) and text_hash (xxhash64) of every row.
 
-    Links join documents whose sets' similarity is at least `percent` / 100.  Ids are longs.
+    Links join documents whose sets' similarity is at least `percent` / 100.  Ids are of an integer type (another one is refused).
     """
     prepare(docs.sparkSession)
     distance = allowed(percent)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = settled(docs.mapInArrow(_sketched(shingle), "id long, n long, h1 long, h2 long, sig binary"), "sketch")
-    classes = settled(sketch.filter("id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    reps = classes.groupBy(F.col("rep").alias("id")).agg(F.first("sig").alias("sig"))
-    signs = settled(reps, "signatures")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row"), F.xxhash64(text_col).alias("th"))
+    sketch = settled(docs.mapInArrow(_sketched(shingle), "id long, row long, th long, n long, h1 long, h2 long, sig binary"), "sketch")
+    first_row = F.min(F.struct("id", "row"))
+    classes = sketch.filter("id is not null and n > 0").groupBy("h1", "h2", "n").agg(first_row.alias("top"), F.first("sig").alias("sig"))
+    classes = settled(classes.select("h1", "h2", "n", F.col("top.id").alias("least"), F.col("top.row").alias("rep"), "sig"), "classes")
+    signs = classes.select(F.col("rep").alias("id"), "sig")
+    docs = docs.select(F.col("row").alias("id"), "text")
 
     keys = signs.select("id", "sig").mapInArrow(_keys(distance), "key long, id long")
     center = keys.groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "c")
@@ -303,9 +309,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         links = first.union(dealt.mapInArrow(_families(shingle, percent, distance), "a long, b long"))
         final = components(links)
         discard(members, families, texts)
-    placed = settled(classes.join(final, classes["rep"] == final["node"], "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id")), "placed")
-    discard(signs, signed, mixed, tested, near)
+    group = F.coalesce("component", "rep").alias("group")
+    placed = settled(classes.select("h1", "h2", "n", "least", "rep").join(final, classes["rep"] == final["node"], "left").select("h1", "h2", "n", "least", group), "placed")
+    smallest = placed.groupBy("group").agg(F.min("least").alias("component_id"))
+    placed = settled(placed.join(smallest, "group").select("h1", "h2", "n", "component_id"), "named")
+    discard(classes, signed, mixed, tested, near, first)
     named = placed.select(*(F.col(x).alias(f"{x}_") for x in ("h1", "h2", "n")), "component_id")
-    rows = sketch.select("id", "n", "h1", "h2").join(named, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")) & (F.col("n") == F.col("n_")) & F.col("id").isNotNull(), "left")
+    rows = sketch.select("id", "th", "n", "h1", "h2").join(named, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")) & (F.col("n") == F.col("n_")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", "id")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.col("th").alias("text_hash"))

@@ -136,6 +136,12 @@ def marks(values: DataFrame, column: str, log2: int = 26) -> Marks:
     return Marks(bits, log2)
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names of working columns that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    return [name for name in (f"work_{k}" for k in range(len(taken) + n)) if name not in taken][:n]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

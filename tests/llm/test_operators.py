@@ -392,6 +392,10 @@ def test_decontamination(spark):
         found = decontaminate.contamination(table(spark, texts), benchmark, block_bytes=block).orderBy("doc_id").collect()
         assert [(r["n_words"], r["n_hit"], ",".join(r["items"])) for r in found] == expected
         assert all(sum(s["end"] - s["first"] for s in r["hit_spans"]) == r["n_hit"] for r in found)
+    clash = table(spark, texts).withColumns({c: F.lit(c) for c in ("text_", "spans_", "items_", "n_words_", "work_0", "Work_2")})
+    kept = decontaminate.contamination(clash, benchmark).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], ",".join(r["items"])) for r in kept] == expected
+    assert all(r[c] == c for r in kept for c in ("text_", "spans_", "items_", "n_words_", "work_0", "Work_2"))
     empty = decontaminate.contamination(table(spark, TEXTS), benchmark.limit(0)).agg(F.sum("n_hit"), F.sum(F.size("items"))).first()
     assert tuple(empty) == (0, 0)
     assert decontaminate.contamination(table(spark, []), benchmark).count() == 0
@@ -710,9 +714,9 @@ def test_minhash(spark, percent):
         group.append(" ".join(own))
     texts = [*TEXTS, *group]
     ids = [*IDS, *range(2000, 2000 + len(group))]
-    rows = [*zip(ids, texts, strict=True), (None, group[0]), (None, None)]
+    rows = [*zip(ids, texts, strict=True), (None, group[0]), (None, None), (2005, group[7] + " more"), (2005, "another text under one id, with words enough"), (1999, "another text under one id, with words enough !")]
     df = table(spark, [t for _, t in rows], [i for i, _ in rows])
-    found = [tuple(r) for r in minhash.near_duplicates(df, percent=percent).collect()]
+    found = [tuple(r)[:4] for r in minhash.near_duplicates(df, percent=percent).collect()]
     order = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert sorted(found, key=order) == sorted(brute_near(rows, percent), key=order)
     if percent == 80:

@@ -44,6 +44,14 @@ def test_language_stage(spark, stages):
     assert set(stages[1].doc_id) == kept and len(kept) > 0.95 * len(stages[0])
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (2, text + " more"), (2, "quite another text that has words of its own"), (3, None), (None, text), (4, text), (5, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted([(1, text), (2, rows[2][1]), (3, ""), (0, text), (5, "")])
+
+
 def test_near_duplicate_stage(stages):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = []
