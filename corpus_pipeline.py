@@ -23,9 +23,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; rows without an id stay, of rows equal in id and text one does."""
-    kept = near_duplicates(docs, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """One row of each group; rows are told apart by id and text, so of rows that share an id each is judged by its own text.
+
+    Rows without an id stay; of rows equal in id and text one does.
+    """
+    found = near_duplicates(docs, percent=80).filter("kept and doc_id is not null")
+    kept = found.select("doc_id", F.col("text_hash").alias("kept_hash")).distinct()
+    same = (docs["doc_id"] == kept["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(kept["kept_hash"])
+    named = docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
