@@ -87,12 +87,15 @@ class Sketch:
             least = ranked.pop()[1]
             self.counts = Counts({item: n - least for item, n in ranked if n > least})
 
-    def frequent(self, share: float) -> list[tuple[str, int]]:
-        return sorted((item, n) for item, n in self.counts.items() if n > share * self.total)
+    def frequent(self, share: float, least: int) -> list[tuple[str, int]]:
+        return sorted((item, n) for item, n in self.counts.items() if n >= max(least, share * self.total))
 
 
-def frequent_lengths(docs: DataFrame, path: str, *, text_col: str = "text", table_entries: int = 50_000, sketch_entries: int = 100_000, share: float = 1e-5, longest: int = 64) -> dict[str, int]:
-    """The most frequent pre-tokens of all texts, with their numbers of tokens; `share` is what makes one frequent in a task."""
+def frequent_lengths(docs: DataFrame, path: str, *, text_col: str = "text", table_entries: int = 50_000, sketch_entries: int = 100_000, share: float = 1e-5, least: int = 16, longest: int = 64) -> dict[str, int]:
+    """The most frequent pre-tokens of all texts, with their numbers of tokens.
+
+    One that is `share` of a task's pre-tokens, and occurs `least` times there, is frequent in it; so few of a small task are.
+    """
     from tokenizers import Tokenizer
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +103,7 @@ def frequent_lengths(docs: DataFrame, path: str, *, text_col: str = "text", tabl
         for batch in batches:
             for text in batch.column(0):
                 sketch.add(split(text.as_py() or ""))
-        found = [(t, n) for t, n in sketch.frequent(share) if len(t) <= longest]
+        found = [(t, n) for t, n in sketch.frequent(share, least) if len(t) <= longest]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.int64()))], names=["token", "n"])
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(sketched, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
