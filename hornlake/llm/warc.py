@@ -2,22 +2,23 @@
 
 Each page makes three records: a response, or a revisit of an equal payload's response, and a request and a metadata
 record that name it in WARC-Concurrent-To.  Records are built by Spark's own functions and written by its text
-writer, whose line separator is the end of a record, as gzip files of at most `records_per_file` records.  Files are
-read whole, each by one task, and parsed by Content-Length.  Assembly joins requests and metadata to responses and
-revisits through the concurrent-to identifiers; a principal record keeps the first of several by identifier and
-counts them, and a request or metadata record whose principal is missing makes a row without one.
+writer, whose line separator is the end of a record, as gzip files of about `file_bytes` on average.  Archives are read
+back by Spark's text reader, cut at the same separator: a task streams a file and joins the pieces again by
+Content-Length, so its memory follows the largest record and not the file.  Assembly joins requests and metadata
+to responses and revisits through the concurrent-to identifiers into one nested row per capture, payload included; a
+principal record keeps the first of several by identifier and counts them, and a request or metadata record whose
+principal is missing makes a row without one.
 
 Of pages with equal payloads of `revisit_bytes` or more the one with the largest page id (of equal ids, the last
 read) is the response.  Only the groups with more than one page are joined back, and by a table written before, so a
 payload that a third of all pages have is split over tasks.
 
 Defined results: null html is an empty payload, null url an empty target; a page without id gives a row with null
-id; line breaks inside a url are dropped.
+id (page ids are of an integer type; another one is refused); line breaks inside a url are dropped.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
 from collections.abc import Iterator
@@ -25,10 +26,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hornlake.llm.shared import prepare, settled
 
 CRLF = "\r\n"
+END = b"\r\n\r\n"
 
 
 def _urn(kind: str) -> Column:
@@ -44,7 +47,11 @@ def _record(kind: str, identifier: Column, block: Column, content_type: str, dat
     return F.concat(*lines, F.lit(f"{CRLF}Content-Type: {content_type}{CRLF}Content-Length: "), length, F.lit(CRLF + CRLF), block)
 
 
-def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, records_per_file: int = 6000, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 1000, file_bytes: int = 256 << 20, date: str = "2024-01-01T00:00:00Z") -> None:
+    """One gzip archive after another under `path`, of `file_bytes` before compression on average."""
+    if not isinstance(pages.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type")
+    prepare(pages.sparkSession)
     base = pages.select(
         F.col(id_col).alias("page_id"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "[\\r\\n]", "").alias("url"),
@@ -52,6 +59,8 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
         F.monotonically_increasing_id().alias("uid"),  # by file split and place: the same whenever these files are read
     )
     base = base.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
+    mean = 2000 + (base.agg(F.avg("bytes")).first()[0] or 0)
+    records_per_file = max(1, int(3 * file_bytes / mean))
     groups = base.filter(F.col("bytes") >= revisit_bytes).groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "uid")).alias("top"), F.count("*").alias("n"))
     groups = settled(groups.filter("n > 1").select(F.col("digest").alias("digest_"), F.col("bytes").alias("bytes_"), "top"), "payloads")
     rows = base.join(groups, (F.col("digest") == F.col("digest_")) & (F.col("bytes") == F.col("bytes_")), "left")
@@ -96,6 +105,27 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
+class Pieces(io.RawIOBase):
+    """A stream of the pieces that a reader cut at record ends, with those put back."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.rest = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        if not self.rest:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.rest = memoryview(piece + END)
+        n = min(len(into), len(self.rest))
+        into[:n] = self.rest[:n]
+        self.rest = self.rest[n:]
+        return n
+
+
 _FIELDS = "id string, type string, concurrent_to string, uri string, date string, refers_to string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
 
 
@@ -107,32 +137,34 @@ def _rows(keep_payload: bool):
         def made(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=names)
 
-        for batch in batches:
-            for content in batch.column(0):
-                raw = content.as_buffer()
-                file = pa.BufferReader(raw)
-                stream = gzip.GzipFile(fileobj=file) if raw.slice(0, 2).to_pybytes() == b"\x1f\x8b" else file
-                found, size = [], 0
-                for h, block in parse(io.BufferedReader(stream) if stream is not file else io.BytesIO(raw.to_pybytes())):
-                    kind = h.get("warc-type", "")
-                    body = block.partition(b"\r\n\r\n")[2] if h.get("content-type", "").startswith("application/http") else block
-                    fields = [tuple(p.strip() for p in line.split(":", 1)) for line in block.decode("utf-8", "replace").split(CRLF) if ":" in line] if h.get("content-type") == "application/warc-fields" else None
-                    own = kind in ("response", "resource")
-                    digest = hashlib.sha1(body).hexdigest() if own else h.get("warc-payload-digest", "").rpartition(":")[2] or None
-                    found.append((h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-refers-to"), digest, len(body) if own else None, fields, body if keep_payload and own else None))
-                    size += len(block)
-                    if len(found) >= 2000 or keep_payload and size > 1 << 23:
-                        yield made(found)
-                        found, size = [], 0
+        pieces = (piece.as_py() for batch in batches for piece in batch.column(0))
+        found, size = [], 0
+        for h, block in parse(io.BufferedReader(Pieces(pieces), 1 << 20)):
+            kind = h.get("warc-type", "")
+            body = block.partition(END)[2] if h.get("content-type", "").startswith("application/http") else block
+            fields = [tuple(p.strip() for p in line.split(":", 1)) for line in block.decode("utf-8", "replace").split(CRLF) if ":" in line] if h.get("content-type") == "application/warc-fields" else None
+            own = kind in ("response", "resource")
+            digest = hashlib.sha1(body).hexdigest() if own else h.get("warc-payload-digest", "").rpartition(":")[2] or None
+            found.append((h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-refers-to"), digest, len(body) if own else None, fields, body if keep_payload and own else None))
+            size += len(block)
+            if len(found) >= 2000 or keep_payload and size > 1 << 23:
                 yield made(found)
+                found, size = [], 0
+        yield made(found)
 
     return rows
 
 
 def read_records(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
-    """A row for each record of the archives under `path`."""
+    """A row for each record of the gzip archives under `path`.
+
+    A gzip file is one task's, read as a stream.  Files that Spark would split, such as plain ones, are refused.
+    """
     prepare(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_rows(payload), _FIELDS)
+    pieces = spark.read.option("lineSep", CRLF + CRLF).text(path)
+    if any(not f.endswith(".gz") for f in pieces.inputFiles()):
+        raise ValueError("archives must be gzip files, which are read from their beginning")
+    return pieces.select(F.col("value").cast("binary")).mapInArrow(_rows(payload), _FIELDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -153,11 +185,13 @@ def page_captures(captures: DataFrame) -> DataFrame:
         F.col("id"),
         F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
         F.col("response.type").alias("record_type"),
-        F.col("response.payload_bytes").alias("bytes"),
+        F.coalesce(F.octet_length("response.payload").cast("long"), F.col("response.payload_bytes")).alias("bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.refers_to").alias("to"),
     )
     flat = settled(flat, "captures")
     there = flat.filter("record_type = 'response'").select(F.col("id").alias("there"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("there_bytes"))
-    joined = flat.join(there, F.col("to") == F.col("there"), "left")
-    return joined.select("page_id", F.coalesce("bytes", "there_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    revisits = flat.filter("record_type <> 'response'").join(there, F.col("to") == F.col("there"), "left")
+    named = revisits.select("page_id", F.coalesce("bytes", "there_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    own = flat.filter("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return own.unionByName(named)

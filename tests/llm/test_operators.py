@@ -110,7 +110,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a/\r\nX: y", long), (5, None, long), (3, "http://b", long), (4, "http://c", "short"), (6, "http://d", "short"), (7, "u", None), (8, "u", "WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n" * 40), (9, "u", "\r\n\r\n"), (None, "n", "no id"), (5, None, long)]
     df = spark.createDataFrame([(*p, "extra", "t") for p in pages], "page_id long, url string, html string, type string, id string")
     path = str(tmp_path / "archive")
-    warc.write_archive(df, path, records_per_file=4)
+    warc.write_archive(df, path, file_bytes=4000)
     records = warc.read_records(spark, path)
     assert records.count() == 3 * len(pages)
     captures = warc.assemble(records).cache()
@@ -125,6 +125,8 @@ def test_warc_round_trip(spark, tmp_path):
         assert (to == 5) == (kind == "revisit") == (digest == one and not (i == 5 and kind == "response"))
     assert [k for i, k, *_ in found if i == 5] == ["response", "revisit"]
     warc.write_archive(df.limit(0), str(tmp_path / "empty"))
+    with pytest.raises(TypeError):
+        warc.write_archive(df.withColumn("page_id", F.lit("x")), str(tmp_path / "refused"))
     orphan = records.filter("type <> 'response' or uri <> 'http://c'")
     assert warc.assemble(orphan).filter("response is null and n_request = 1").count() == 1
 
