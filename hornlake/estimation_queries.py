@@ -6,10 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hornlake.functions import stats
-from hornlake.functions.numeric import chernoff_bound, clt_bound, student_quantile
 from hornlake.operators import diversity as D
 from hornlake.operators import estimators as E
 from hornlake.operators import evaluate as V
@@ -103,13 +101,21 @@ for _name in E.ALL:
 # Stopping rules
 
 
+#: Two-sided points of the normal distribution, as tables have them, by error probability.
+Z = {0.01: 2.575829303548901, 0.05: 1.959963984540054, 0.1: 1.6448536269514722}
+#: The Student point from the normal one, by the expansion of Fisher and Cornish; from 49 degrees of freedom good to eight digits.
+_STUDENT = (
+    "z + (pow(z, 3) + z) / 4 / d + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / 96 / pow(d, 2) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / 384 / pow(d, 3)"
+    " + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / 92160 / pow(d, 4)"
+)
+
+
 def _fixed_sql(limit: str) -> str:
-    bound = {"Chernoff": chernoff_bound, "CLT": clt_bound}[limit]
-    closed = "(e + 2) * ln(2 / a) / (e * e)" if limit == "Chernoff" else "b"
-    rows = ", ".join(f"({e}::DOUBLE, {a}::DOUBLE, {float(bound(e, a))!r}::DOUBLE)" for e, a in GRID)
+    closed = "(e + 2) * ln(2 / a) / (e * e)" if limit == "Chernoff" else "ceil(z * z / 4 / (e * e))"
+    rows = ", ".join(f"({e}::DOUBLE, {a}::DOUBLE, {Z[a]}::DOUBLE)" for e, a in GRID)
     return f"""{KG_SQL}, t AS (SELECT count(*) AS total FROM kg WHERE p = '{RULE.head.p}')
         SELECT e AS accuracy, a AS confidence, round({closed}, 6) AS bound, least(total, greatest(least(50, total), ceil({closed})))::BIGINT AS stop_n
-        FROM (VALUES {rows}) v(e, a, b), t"""
+        FROM (VALUES {rows}) v(e, a, z), t"""
 
 
 for _limit in ("Chernoff", "CLT"):
@@ -117,7 +123,7 @@ for _limit in ("Chernoff", "CLT"):
         lambda spark, sf_dir, limit=_limit: stopping.fixed_stops(lift(spark, sf_dir), limit, stats.pairs(lift(spark, sf_dir), RULE.head.p).count(), GRID, 50).withColumn("bound", F.round("bound", 6))
     )
 
-_T = ", ".join(f"({n}, {a}::DOUBLE, {(student_quantile(1 - a / 2, n - 1) if n > 1 else 0.0)!r}::DOUBLE)" for n in range(1, DRAWS + 1) for a in V.CONFIDENCES)
+_T = f"SELECT d + 1 AS n, a, {_STUDENT} AS t FROM (SELECT unnest(range(49, {DRAWS})) AS d), (VALUES {', '.join(f'({a}::DOUBLE, {z}::DOUBLE)' for a, z in Z.items())}) z(a, z)"
 
 
 @query(
@@ -126,7 +132,7 @@ _T = ", ".join(f"({n}, {a}::DOUBLE, {(student_quantile(1 - a / 2, n - 1) if n >
         run AS (SELECT row_number() OVER w AS n, sum(success::INT) OVER w AS k, total FROM draws WINDOW w AS (ORDER BY draw)),
         m AS (
           SELECT n, k, total, e, a, t * sqrt(CASE WHEN n = 1 OR total = 1 THEN 0 ELSE (k / n) * (1 - k / n) / (n - 1) * (total - n) / (total - 1) END) / sqrt(n) AS half
-          FROM run JOIN (VALUES {_T}) t(n, a, t) USING (n) CROSS JOIN (VALUES {", ".join(f"({e}::DOUBLE)" for e in V.ACCURACIES)}) g(e) WHERE n <= total)
+          FROM run JOIN ({_T}) t USING (n) CROSS JOIN (VALUES {", ".join(f"({e}::DOUBLE)" for e in V.ACCURACIES)}) g(e) WHERE n <= total)
         SELECT e AS accuracy, a AS confidence, coalesce(min(n) FILTER (n >= least(50, total) AND (half <= e * (k / n) OR n = total)), max(n))::BIGINT AS stop_n
         FROM m GROUP BY e, a""",
 )
@@ -305,8 +311,10 @@ def abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT event_id, event_type, user_id, round(avg(value) OVER (PARTITION BY event_type, user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS reward FROM events""",
 )
 def reward_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = Window.partitionBy("event_type", "user_id").orderBy("event_id").rowsBetween(-4, 0)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "user_id", F.round(F.avg("value").over(last), 4).alias("reward"))
+    from hornlake.operators.policy import reward_windows
+
+    rows = reward_windows(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type", "user_id"], "event_id", "value", 5)
+    return rows.select("event_id", "event_type", "user_id", F.round("reward", 4).alias("reward"))
 
 
 _ESTIMATES_SQL = f"""{KG_SQL}, d AS (SELECT p, s, count(*) AS truth, sum(o % 7)::DOUBLE AS est FROM kg GROUP BY p, s),

@@ -36,16 +36,14 @@ def pca_confidence(support: Column, pca: Column) -> Column:
 
 
 def metrics(kg: DataFrame, r: Rule, name: str, **options) -> DataFrame:
-    """One row: rule, predicate_size, support, head_coverage, pca_x, pca_y, body, and the confidences by each."""
+    """One row: rule, predicate_size, support, head_coverage, pca_x, pca_y, body, and the confidences by each.
+
+    The body is matched once, whatever is asked of its pairs; it must join both head variables.
+    """
     size = kg.filter(F.col("p") == r.head.p).agg(F.count("*").alias("predicate_size"))
-    parts = [
-        size,
-        support(kg, r, **options),
-        pca_contradictions(kg, r, "x", **options).withColumnRenamed("pca", "pca_x"),
-        pca_contradictions(kg, r, "y", **options).withColumnRenamed("pca", "pca_y"),
-        body_size(kg, r, **options),
-    ]
-    row = reduce(lambda a, b: a.crossJoin(b), parts)  # each has a single row
+    against = [F.count_if(F.col(f"against_{c}") & ~F.col("held")).alias(f"pca_{c}") for c in "xy"]
+    counts = plan.judged_pairs(kg, r, **options).agg(F.count_if("held").alias("support"), *against, F.count("*").alias("body"))
+    row = size.crossJoin(counts)  # each has a single row
     s = F.col("support")
     return row.select(
         F.lit(name).alias("rule"),

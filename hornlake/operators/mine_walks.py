@@ -9,13 +9,17 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 
 from hornlake.functions.stats import laid_out
 from hornlake.functions.stats import sizes as predicate_sizes
 from hornlake.operators.metrics import metrics
 from hornlake.operators.policy import POLICIES, EffortReward, MetricReward, Profile, profile_grid, rule_reward
+from hornlake.operators.shapes import supports
 from hornlake.operators.walks import random_walks, walk_rule
+from hornlake.plans.compile import connected_body
 from hornlake.plans.rule import Rule, body_connected, canonical, check, heads, is_closed, key, render
 
 
@@ -65,21 +69,36 @@ def mine(kg: DataFrame, settings: Settings, process: Callable[[int, Rule, dict],
                     reward.add(profile, known[key(r)])
             else:
                 new[key(r)] = r
+        evaluated = _evaluated(kg, new, sizes, settings.min_head_coverage)
         for k, r in sorted(new.items()):
             known[k] = len(known) + 1
-            row = metrics(kg, r, k, sizes=sizes).first().asDict()
+            row = evaluated[k]
             policy.report_rule(profile)
-            confidence = max(row["pca_confidence_x"], row["pca_confidence_y"])
+            confidence = max(row["pca_confidence_x"] or 0.0, row["pca_confidence_y"] or 0.0)
             value = known[k] if isinstance(reward, EffortReward) else rule_reward(settings.reward, row["support"], row["head_coverage"], confidence, r.length, row["predicate_size"])
             reward.add(profile, value)
-            good = row["head_coverage"] >= settings.min_head_coverage
-            found.append((known[k], render(r), k, row["support"], row["head_coverage"], row["pca_x"] if good else None, row["pca_y"] if good else None))
+            found.append((known[k], render(r), k, row["support"], row["head_coverage"], row["pca_x"], row["pca_y"]))
             if process:
                 process(known[k], r, row)
     kg.unpersist()
     return kg.sparkSession.createDataFrame(found, "rule_id long, rule string, key string, support long, head_coverage double, pca_x long, pca_y long")
 
 
+def _evaluated(kg: DataFrame, new: dict[str, Rule], sizes: dict[str, int], min_head_coverage: float) -> dict[str, dict]:
+    """Metrics of a batch's rules: supports by one job for each shape, the rest only for rules with enough head coverage."""
+    counted = supports(kg, list(new.values()))
+    out = {}
+    for k, r in new.items():
+        size = sizes.get(r.head.p, 0)
+        out[k] = {"predicate_size": size, "support": counted[r], "head_coverage": counted[r] / size if size else 0.0, "pca_x": None, "pca_y": None, "pca_confidence_x": None, "pca_confidence_y": None}
+    good = [k for k in new if out[k]["head_coverage"] >= min_head_coverage and connected_body(new[k])]
+    for i in range(0, len(good), 8):
+        rows = reduce(DataFrame.union, [metrics(kg, new[k], k, sizes=sizes) for k in good[i : i + 8]])
+        for row in rows.toLocalIterator():
+            out[row["rule"]] = row.asDict()
+    return out
+
+
 def _failed(policy, reward: MetricReward | EffortReward, profile: Profile) -> None:
     """A failure is worth nothing; for the effort it is a species of its own."""
     policy.report_failure(profile)

@@ -52,7 +52,10 @@ def known_without(df: DataFrame, columns: list[str], n: int, seed: int) -> DataF
 
 
 def support_draws(kg: DataFrame, r: Rule, n: int, *, replacement: bool, seed: int, run: int = 0, **options) -> DataFrame:
-    """draw, s, o, success: head pairs drawn for the rule; an empty head gives no draws.  Each run has its own order."""
+    """draw, s, o, success: head pairs drawn for the rule; an empty head gives no draws.  Each run has its own order.
+
+    The body is matched from the drawn pairs on, so an estimate costs what its draws do.
+    """
     head = kg.filter(F.col("p") == r.head.p).select("s", "o").distinct()
     own = seed * 1_000_003 + run
     indexed = shuffled(head, ["s", "o"], own)
@@ -60,8 +63,9 @@ def support_draws(kg: DataFrame, r: Rule, n: int, *, replacement: bool, seed: in
     if total == 0:
         return head.select(F.lit(0).cast("long").alias("draw"), "s", "o", F.lit(False).alias("success"))
     index = draw_with(n, total, own, kg) if replacement else draw_without(n, total, kg)
-    held = plan.supported_pairs(kg, r, **options).withColumn("success", F.lit(True))
-    return index.join(indexed, "idx").join(held, ["s", "o"], "left").select("draw", "s", "o", F.coalesce("success", F.lit(False)).alias("success"))
+    drawn = index.join(indexed, "idx").select("draw", "s", "o")
+    held = plan.supported_pairs(kg, r, among=drawn.select("s", "o"), **options).withColumn("success", F.lit(True))
+    return drawn.join(held, ["s", "o"], "left").select("draw", "s", "o", F.coalesce("success", F.lit(False)).alias("success"))
 
 
 def pair_draws(kg: DataFrame, r: Rule, corrupt: str, n: int, *, seed: int, **options) -> DataFrame:
@@ -77,8 +81,9 @@ def pair_draws(kg: DataFrame, r: Rule, corrupt: str, n: int, *, seed: int, **opt
     if not all(totals):
         return kg.limit(0).select(F.lit(0).cast("long").alias("draw"), "s", "o", F.lit(False).alias("success"))
     x, y = (draw_with(n, total, 7 * seed + k, kg).join(found, "idx").select("draw", F.col("value").alias(end)) for k, (total, found, end) in enumerate(zip(totals, values, "so", strict=True)))
-    held = plan.pca_pairs(kg, r, corrupt, **options).withColumn("success", F.lit(True))
-    return x.join(y, "draw").join(held, ["s", "o"], "left").select("draw", "s", "o", F.coalesce("success", F.lit(False)).alias("success"))
+    drawn = x.join(y, "draw")
+    held = plan.pca_pairs(kg, r, corrupt, among=drawn.select("s", "o"), **options).withColumn("success", F.lit(True))
+    return drawn.join(held, ["s", "o"], "left").select("draw", "s", "o", F.coalesce("success", F.lit(False)).alias("success"))
 
 
 def seed_side(selection: str, size_x: int, size_y: int, corrupt: str, draw: Column, seed: int) -> Column:

@@ -49,16 +49,17 @@ def margin(t: Column, variance: Column, n: Column, ci: str = "reference") -> Col
     return t * F.sqrt(variance) / F.sqrt(n) if ci == "reference" else t * F.sqrt(variance)
 
 
-def student_table(df: DataFrame, upto: int, alphas: list[float]) -> DataFrame:
-    """n, confidence, t for all prefixes of at most `upto` draws: a bounded table."""
-    rows = [(n, a, student_quantile(1 - a / 2, n - 1) if n > 1 else 0.0) for n in range(1, upto + 1) for a in alphas]
+def student_table(df: DataFrame, upto: int, alphas: list[float], least: int = 1) -> DataFrame:
+    """n, confidence, t for all prefixes of `least` to `upto` draws: a bounded table."""
+    rows = [(n, a, student_quantile(1 - a / 2, n - 1) if n > 1 else 0.0) for n in range(max(1, least), upto + 1) for a in alphas]
     return df.sparkSession.createDataFrame(rows, "n long, confidence double, t double")
 
 
 def interval_stops(draws: DataFrame, total: int, grid: list[tuple[float, float]], min_samples: int, longest: int, ci: str = "reference") -> DataFrame:
     """accuracy, confidence, stop_n: the first n at which the margin is at most accuracy times the mean, or `total`."""
     spark = draws.sparkSession
-    table = student_table(draws, min(longest, total), sorted({a for _, a in grid}))
+    # No rule stops before the minimum, so quantiles are needed from there on.
+    table = student_table(draws, min(longest, total), sorted({a for _, a in grid}), min(min_samples, total, longest))
     configs = spark.createDataFrame(grid, "accuracy double, confidence double")
     run = running(draws).filter(F.col("n") <= total).select("n", "k")
     rows = run.join(F.broadcast(table), "n").join(F.broadcast(configs), "confidence")  # both are parameter tables
@@ -77,9 +78,9 @@ def repeat_stop(draws: DataFrame, total: int, min_samples: int = 0, max_repeated
     return at.select("stop_n", (F.col("k") - F.col("repeated")).alias("estimation"))
 
 
-def longest_stop(stops: list[int]) -> int:
-    """A stream ends when every listener has stopped."""
-    return max(stops, default=0)
+def longest_stops(stops: DataFrame, by: list[str]) -> DataFrame:
+    """by, stop_n: where a stream of draws ends, when every one of its listeners has stopped."""
+    return stops.groupBy(*by).agg(F.max("stop_n").alias("stop_n"))
 
 
 def block_size(grid: list[tuple[float, float]]) -> int:

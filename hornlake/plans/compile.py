@@ -94,35 +94,61 @@ def _xy(df: DataFrame, r: Rule) -> DataFrame:
     return df.select(F.col(column(r.head.s)).alias("s"), F.col(column(r.head.o)).alias("o")).distinct()
 
 
+def _named(pairs: DataFrame, r: Rule) -> DataFrame:
+    return pairs.select(F.col("s").alias(column(r.head.s)), F.col("o").alias(column(r.head.o))).distinct()
+
+
+def judged_pairs(kg: DataFrame, r: Rule, sizes: dict[str, int] | None = None, head_injective: bool = False) -> DataFrame:
+    """The distinct pairs (s, o) of a connected body, matched once, and whether each is held, and contradicted by either end.
+
+    Of an end's head pairs as many others are kept as a matching has values, and one more: one of these then differs
+    from all of them if any does.
+    """
+    h = r.head
+    pair = _head_pair(r, head_injective)
+    body = matchings(kg, r.body, pair, sizes, exists=(h.s, h.o), others=1)
+    x, y = column(h.s), column(h.o)
+    heads = kg.filter(F.col("p") == h.p).select(F.col("s").alias(x), F.col("o").alias(y)).distinct()
+    enough = len(body.columns) + 1
+    values = F.array(*(F.col(c) for c in body.columns))
+    for end, other, name in ((y, x, "x"), (x, y, "y")):
+        few = some_of(heads, [end], other, enough).groupBy(end).agg(F.collect_list(other).alias(f"others_{name}"))
+        body = body.join(few, end, "left")
+    differs = [F.coalesce(F.size(F.array_except(f"others_{name}", values)) > 0, F.lit(False)).alias(f"against_{name}") for name in "xy"]
+    pairs = body.select(x, y, *differs).groupBy(x, y).agg(F.bool_or("against_x").alias("against_x"), F.bool_or("against_y").alias("against_y"))
+    held = pairs.join(heads.withColumn("held", F.lit(True)), [x, y], "left")
+    return held.select(F.col(x).alias("s"), F.col(y).alias("o"), F.coalesce("held", F.lit(False)).alias("held"), "against_x", "against_y")
+
+
 def body_pairs(kg: DataFrame, r: Rule, sizes: dict[str, int] | None = None, head_injective: bool = False) -> DataFrame:
     """Distinct pairs (s, o) for which the body has a matching, in the head or not."""
     return _xy(matchings(kg, r.body, _head_pair(r, head_injective), sizes, exists=(r.head.s, r.head.o)), r)
 
 
-def supported_pairs(kg: DataFrame, r: Rule, sizes: dict[str, int] | None = None, head_injective: bool = False) -> DataFrame:
-    """Pairs of the head for which the body has a matching.
+def supported_pairs(kg: DataFrame, r: Rule, sizes: dict[str, int] | None = None, head_injective: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """Pairs of the head, or of those `among` them (s, o), for which the body has a matching.
 
     A body that joins both variables is matched on its own and the head semi-joined with it: joining a head's pairs
     with one atom first would repeat a subject's edges for each of its pairs.  Other bodies start at the head's pairs.
     """
     pair, ends = _head_pair(r, head_injective), (r.head.s, r.head.o)
-    head = _atom(kg, r.head).distinct()
+    head = _atom(kg, r.head).distinct() if among is None else _named(among, r)
     if head_injective:
         head = head.filter(F.col(column(r.head.s)) != F.col(column(r.head.o)))
-    if connected_body(r):
+    if connected_body(r) and among is None:
         names = [column(v) for v in ends]
         body = matchings(kg, r.body, pair, sizes, exists=ends).select(*names)
         return head.join(body, names, "left_semi").select(F.col(names[0]).alias("s"), F.col(names[1]).alias("o"))
     return _xy(matchings(kg, r.body, pair, sizes, head, exists=ends), r)
 
 
-def pca_pairs(kg: DataFrame, r: Rule, corrupt: str, sizes: dict[str, int] | None = None, head_injective: bool = False) -> DataFrame:
-    """Distinct pairs (s, o) with a matching of the body, not in the head, whose kept variable has another head pair.
+def pca_pairs(kg: DataFrame, r: Rule, corrupt: str, sizes: dict[str, int] | None = None, head_injective: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (s, o), of those `among` if given, with a matching of the body, not in the head, whose kept variable has another head pair.
 
     The other value is a variable like any: it differs from all values of the matching.  It is only asked to exist.
     """
     h = r.head
-    body = matchings(kg, r.body, _head_pair(r, head_injective), sizes, exists=(h.s, h.o), others=1)
+    body = matchings(kg, r.body, _head_pair(r, head_injective), sizes, None if among is None else _named(among, r), exists=(h.s, h.o), others=1)
     kept, other = (h.o, "s") if corrupt == "x" else (h.s, "o")
     if corrupt not in ("x", "y"):
         raise ValueError("corrupt is 'x' or 'y'")

@@ -86,7 +86,9 @@ def lookup_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.by_subject(kg, "bought", stats.subjects(kg, "bought_from"))
 
 
-@query("lookup_by_object", f"{KG_SQL} SELECT s, o FROM kg WHERE p = 'order_part' AND o IN (SELECT o FROM kg WHERE p = 'bought')")
+@query("lookup_by_object", """
+    WITH bought AS (SELECT DISTINCT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 40)
+    SELECT DISTINCT 6000000000 + l_orderkey AS s, 5000000000 + l_partkey AS o FROM lineitem JOIN bought USING (l_partkey)""")
 def lookup_by_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     kg = lift(spark, sf_dir)
     return stats.by_object(kg, "order_part", stats.objects(kg, "bought"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import zipfile
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +36,22 @@ DATASETS = {
 }
 
 
-def unpack(archive: str, folder: str) -> str:
-    """The triple files of a zip archive in a folder, which on a cluster is a shared one."""
-    with zipfile.ZipFile(archive) as z:
-        for name in z.namelist():
-            if Path(name).name in FILES:
-                Path(folder, Path(name).name).write_bytes(z.read(name))
+def unpack(spark: SparkSession, archive: str, folder: str) -> str:
+    """The triple files of a zip archive, streamed to a folder; both are paths of any file system that Spark reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (archive, folder))
+    entries = jvm.java.util.zip.ZipInputStream(source.getFileSystem(conf).open(source))
+    try:
+        while entry := entries.getNextEntry():
+            name = entry.getName().rsplit("/", 1)[-1]
+            if name in FILES:
+                out = target.getFileSystem(conf).create(jvm.org.apache.hadoop.fs.Path(target, name), True)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(entries, out, 1 << 16, False)
+                finally:
+                    out.close()
+    finally:
+        entries.close()
     return folder
 
 

@@ -16,14 +16,14 @@ FILES = {"train2id.txt": "3\n1 2 p\n1 2 p\n2 3 q\n", "valid2id.txt": "1 2 p\n4 5
 
 
 @pytest.fixture
-def folder(tmp_path):
+def folder(spark, tmp_path):
     archive = tmp_path / "WN18.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for name, text in FILES.items():
             z.writestr(f"WN18/{name}", text)
         z.writestr("WN18/readme.md", "other")
     (tmp_path / "files").mkdir()
-    return triples.unpack(str(archive), str(tmp_path / "files"))
+    return triples.unpack(spark, str(archive), str(tmp_path / "files"))
 
 
 def test_read_write_load(spark, folder, tmp_path):
