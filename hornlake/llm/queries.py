@@ -81,12 +81,11 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hornlake.llm import warc
-    from hornlake.llm.shared import scratch, settled
+    from hornlake.llm.shared import scratch
 
     pages, path = table(spark, sf_dir, "pages"), scratch(spark, "archive")
     warc.write_archive(pages, path)
-    records = settled(warc.read_records(spark, path), "records")
-    return warc.page_captures(warc.assemble(records))
+    return warc.page_captures(warc.assemble(warc.read_records(spark, path)))
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

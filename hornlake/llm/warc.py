@@ -175,7 +175,8 @@ def assemble(records: DataFrame) -> DataFrame:
         records.filter(F.col("type") == kind).groupBy(F.coalesce("concurrent_to", "id").alias("id")).agg(F.min_by(whole, "id").alias(kind), F.count("*").alias(f"n_{kind}"))
         for kind in ("request", "metadata")
     ]
-    out = main.join(sides[0], "id", "full_outer").join(sides[1], "id", "full_outer")
+    # The narrow sides come together first, so that payloads are shuffled once.
+    out = main.join(sides[0].join(sides[1], "id", "full_outer"), "id", "full_outer")
     return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_request", "n_metadata")})
 
 
