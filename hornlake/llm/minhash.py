@@ -8,11 +8,13 @@ entered once for each position that may be wrong, under the hash of the others.
 
 Whole classes of equal sets are represented by one document throughout, named by a hash of its id and text, so that
 rows which share an id stay apart; only the final join goes back to all rows.
-Within a bucket, candidates are first its smallest document against each other (linear); links confirmed on full
-sets give components.  Buckets whose documents are not yet in one component then compare all their pairs across
-components by signature, in blocks of bounded size; what leaves a task is a forest of the near ones.  Its trees are
-families.  A family's documents, with their texts, are dealt into blocks of bounded number and bytes, and each pair
-of blocks is confirmed on full sets in one task, which again returns a forest.  So every pair within the distance is
+Within a bucket, candidates are first its document of smallest id against each other (linear); links confirmed on
+full sets give components.  The smallest id is the same in most buckets of a family, and often that of the text which
+the others were copied from, so that one round connects most of them; which one is taken changes no result.
+Buckets whose documents are not yet in one component then compare all their pairs across components by signature, in
+blocks of bounded size; what leaves a task is a forest of the near ones.  Its trees are families.  A family's
+documents, with their texts, are dealt into blocks of bounded number and bytes, and each pair of blocks is confirmed on
+full sets in one task, which again returns a forest.  So every pair within the distance is
 either connected or confirmed or refuted, and a large group of near copies never makes all its pairs.
 
 The allowed distance is 4.75 deviations above the mean at the least similarity (24 of 64 positions at 0.85), which
@@ -276,11 +278,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first_row = F.min(F.struct("id", "row"))
     classes = sketch.filter("id is not null and n > 0").groupBy("h1", "h2", "n").agg(first_row.alias("top"), F.first("sig").alias("sig"))
     classes = settled(classes.select("h1", "h2", "n", F.col("top.id").alias("least"), F.col("top.row").alias("rep"), "sig"), "classes")
-    signs = classes.select(F.col("rep").alias("id"), "sig")
+    signs = classes.select(F.col("rep").alias("id"), "least", "sig")
     docs = docs.select(F.col("row").alias("id"), "text")
 
-    keys = signs.select("id", "sig").mapInArrow(_keys(distance), "key long, id long")
-    center = keys.groupBy("key").agg(F.min("id").alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "c")
+    keys = signs.mapInArrow(_keys(distance), "key long, id long, least long")
+    center = keys.groupBy("key").agg(F.min_by("id", "least").alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "c")
     star = keys.join(center, "key").filter("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")).distinct()
     sig_a, sig_b = (signs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     tested = settled(star.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_near(distance), "a long, b long"), "star")
