@@ -163,8 +163,8 @@ def _units(distance: int):
             out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for a, b in bounds:
                 if b - a > 1:
-                    pairs = list(_across(ids[a:b], comps[a:b], side[a:b], signs[a:b], lo[a] == hi[a], distance))
-                    out += [forest(*(np.concatenate([p[k] for p in pairs]) for k in (0, 1)))] if b - a > 48 else pairs
+                    pairs = _across(ids[a:b], comps[a:b], side[a:b], signs[a:b], lo[a] == hi[a], distance)
+                    out += [forest(*p) for p in pairs] if b - a > 48 else pairs  # a piece's pairs are as many as its cells
             x, y = forest(*(np.concatenate([p[k] for p in out]) for k in (0, 1)))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
