@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hornlake.operators import metrics as M
-from hornlake.operators.shapes import shape_of, supports
+from hornlake.operators.shapes import SHAPES, meetings, shape_of, shape_support, supports, triangle_patterns
 from hornlake.plans import compile as plan
 from hornlake.plans.rule import rule
 from hornlake.queries import RULES
@@ -120,3 +120,37 @@ def test_fixed_values(spark):
         found = (M.support(kg, r).first()[0], M.pca_contradictions(kg, r, "x").first()[0], M.pca_contradictions(kg, r, "y").first()[0])
         assert found == expected[name], name
     kg.unpersist()
+
+
+def test_triangles_are_made_at_the_vertex_with_fewest_pairs(spark):
+    # Thirty subjects all point at one hub by a and b; only c closes one triangle, and one head has equal variables.
+    rows = [(n, p, 0) for n in range(1, 31) for p in "ab"] + [(1, "c", 2), (3, "d", 3)]
+    hub = spark.createDataFrame(rows, "s long, p string, o long")
+    for ends in (((0, 2), (1, 2)), ((1, 2), (0, 2))):
+        found = {tuple(r)[:3]: r["support"] for r in shape_support(hub, ends).collect()}
+        assert found == {("c", "a", "b"): 1, ("c", "b", "a"): 1, ("c", "a", "a"): 1, ("c", "b", "b"): 1, **{("d", p, q): 1 for p in "ab" for q in "ab"}}
+    ways = meetings(hub)
+    assert ways[("a", "o"), ("b", "o")] == 900 and ways[("a", "s"), ("c", "s")] == 1
+    arms, patterns, uses = triangle_patterns([rule("c(x,y)", "a(x,z)", "b(y,z)"), rule("a(x,y)", "c(x,z)", "b(z,y)")], ways)
+    assert [ways[labels] for labels in arms] == [1] and len(patterns) == 1 and len(uses) == 2  # not the 900 at the hub, and shared
+
+
+def test_triangles_of_all_shapes_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = sorted({(rng.randrange(9), rng.choice("ab"), rng.randrange(9)) for _ in range(60)})
+    kg = spark.createDataFrame(rows * 2, "s long, p string, o long").cache()  # each triple twice
+    for name in ("triangle_out", "triangle_path", "triangle_in", "triangle_back"):
+        ends = SHAPES[name]
+        for injective in (False, True):
+            pairs = {}
+            for x, p0, y in rows:
+                for s1, p1, o1 in rows:
+                    for s2, p2, o2 in rows:
+                        at = {0: x, 1: y}
+                        fits = not (injective and x == y)
+                        for (u, v), s, o in ((ends[0], s1, o1), (ends[1], s2, o2)):
+                            fits = fits and at.setdefault(u, s) == s and at.setdefault(v, o) == o
+                        if fits and at[2] not in (x, y):
+                            pairs.setdefault((p0, p1, p2), set()).add((x, y))
+            found = {tuple(r)[:3]: r["support"] for r in shape_support(kg, ends, head_injective=injective).collect()}
+            assert found == {k: len(v) for k, v in pairs.items()}
