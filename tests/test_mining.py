@@ -69,6 +69,13 @@ def test_walks(kg):
     assert random_walks(kg, 5, 2, seed=1, head="none").count() == 0
 
 
+def test_walks_read_each_step_once(kg):
+    for close in (True, False):
+        found = random_walks(kg, 20, 3, seed=2, close=close)
+        assert found._jdf.queryExecution().optimizedPlan().collectLeaves().length() == 1  # the last step, kept; not all steps over and over
+    assert random_walks(kg.union(kg), 20, 3, seed=2).collect() == random_walks(kg, 20, 3, seed=2).collect()
+
+
 def test_beam_finds_contradictions(kg):
     r = rule("a(x,y)", "b(x,z)", "c(z,y)")
     held = {(x["s"], x["o"]) for x in pca_pairs(kg, r, "y").collect()}
