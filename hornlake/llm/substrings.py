@@ -43,8 +43,8 @@ from hornlake.llm.shared import Marks, discard, marks, prepare, settled
 from hornlake.llm.words import SPACED, Words, mix, slices, spans_hash, words_of
 
 _LAST = 2**63 - 1
-#: Classes that a task remembers to have sent.
-REMEMBERED = 400_000
+#: Windows that a task remembers to have sent.
+REMEMBERED = 100_000
 
 
 def _identity(id_col: str, text_col: str) -> list[Column]:
@@ -132,24 +132,38 @@ def _members(size: int, anchor: int, filtered):
     return members
 
 
+class Sent:
+    """The earliest place sent of each class (key, mark), in a table of fixed size (8 MB): a class that another one's place has taken is sent again."""
+
+    def __init__(self, log2: int = 18):
+        self.shift = np.uint64(64 - log2)
+        self.key, self.mark = (np.zeros(1 << log2, np.uint64) for _ in range(2))
+        self.id, self.start = (np.full(1 << log2, _LAST, np.int64) for _ in range(2))
+
+    def fresh(self, key: np.ndarray, mark: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which are the earliest of their class here and earlier than what was sent of it, in rising order; they are sent now."""
+        order = np.lexsort((start, ids, mark, key))
+        new = np.append(True, (key[order][1:] != key[order][:-1]) | (mark[order][1:] != mark[order][:-1]))[: len(order)]
+        first = np.sort(order[new])
+        slot = (mix(key[first] ^ mark[first]) >> self.shift).astype(np.int64)
+        late = (self.id[slot] < ids[first]) | (self.id[slot] == ids[first]) & (self.start[slot] <= start[first])
+        late &= (self.key[slot] == key[first]) & (self.mark[slot] == mark[first])
+        first, (slot, of) = first[~late], np.unique(slot[~late], return_index=True)
+        for kept, values in ((self.key, key), (self.mark, mark), (self.id, ids), (self.start, start)):
+            kept[slot] = values[first[of]]
+        return first
+
+
 def _classes(size: int, anchor: int, filtered):
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, h, text) -> segments that may have a match, with their words; a copy only if it is earlier than one sent."""
         keep = filtered.value
-        sent: dict[tuple[int, int], tuple[int, int]] = {}
+        sent = Sent()
         for part in slices(batches, "text"):
             s = Segments(words_of(part, "text", SPACED, lower=False), size, anchor)
             at = np.flatnonzero(keep.has(s.key))
             ids = part.column(0).to_numpy()[s.text[at]]
-            fresh = []
-            for k, (key, mark, i, start) in enumerate(zip(s.key[at].tolist(), s.mark[at].tolist(), ids.tolist(), s.start[at].tolist(), strict=True)):
-                known = sent.get((key, mark))
-                if known is None or (i, start) < known:
-                    sent[key, mark] = i, start
-                    fresh.append(k)
-            if len(sent) > REMEMBERED:
-                sent.clear()
-            pick = np.array(fresh, np.int64)
+            pick = sent.fresh(s.key[at], s.mark[at], ids, s.start[at])
             at = at[pick]
             yield pa.RecordBatch.from_arrays([_signed(s.key[at]), _signed(s.mark[at]), pa.array(ids[pick]), pa.array(s.start[at]), pa.array(s.n[at]), pa.array(s.spelled(at), pa.binary())], names=["key", "mark", "id", "start", "n", "words"])
 
@@ -331,25 +345,34 @@ _WINDOW = "hash long, key long, mark long, id long, start long, at long, words b
 def _windows(size: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments -> their windows; one that an earlier one sent by this task makes a copy comes without words."""
+        names = [f.split()[0] for f in _WINDOW.split(", ")]
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=names)
+
         sent: dict[bytes, tuple[int, int]] = {}
+        rows: list[tuple] = []
         for batch in batches:
-            rows = []
-            for key, mark, i, start, words in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                spelled = words.split(b" ")
-                for at in range(len(spelled) - size + 1):
-                    window = b" ".join(spelled[at : at + size])
-                    known = sent.get(window)
-                    if known is not None and known < (i, start + at):
-                        rows.append((0, key, mark, i, start + at, at, None))
-                    else:
-                        sent[window] = i, start + at
-                        digest = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                        rows.append((digest, key, mark, i, start + at, at, window))
-                if len(sent) > REMEMBERED // 4:
-                    sent.clear()
-            for lo in range(0, len(rows), 20_000):
-                columns = list(zip(*rows[lo : lo + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=[f.split()[0] for f in _WINDOW.split(", ")])
+            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                for key, mark, i, start, words in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
+                    spelled = words.split(b" ")
+                    for at in range(len(spelled) - size + 1):
+                        window = b" ".join(spelled[at : at + size])
+                        known = sent.get(window)
+                        if known is not None and known < (i, start + at):
+                            rows.append((0, key, mark, i, start + at, at, None))
+                        else:
+                            sent[window] = i, start + at
+                            digest = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+                            rows.append((digest, key, mark, i, start + at, at, window))
+                        if len(rows) == 20_000:
+                            yield told(rows)
+                            rows = []
+                    if len(sent) > REMEMBERED:
+                        sent.clear()
+        if rows:
+            yield told(rows)
 
     return windows
 
@@ -384,7 +407,7 @@ def _touched(filtered, wanted: bool):
 def _cleaned(size: int):
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, text, factors -> the words that stay."""
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = []
             for text, factors in zip(batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode().split()

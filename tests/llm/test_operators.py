@@ -9,6 +9,7 @@ import zlib
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -651,6 +652,35 @@ def test_factors_are_those_of_a_greedy_parse():
             assert covered == {p for p in range(len(longest)) if longest[p]}
 
 
+def test_classes_remembered_take_a_fixed_size():
+    """What a task remembers to have sent does not grow with its classes; no class goes unsent, nor an earlier place of one."""
+    rng = np.random.default_rng(3)
+    sent = substrings.Sent(4)
+    least: dict[tuple[int, int], tuple[int, int]] = {}
+    told: dict[tuple[int, int], tuple[int, int]] = {}
+    for _ in range(30):
+        key, mark = rng.integers(0, 12, (2, 50)).astype(np.uint64)
+        ids, start = rng.integers(0, 40, (2, 50))
+        for k in sent.fresh(key, mark, ids, start).tolist():
+            told[int(key[k]), int(mark[k])] = min(told.get((int(key[k]), int(mark[k])), (99, 99)), (int(ids[k]), int(start[k])))
+        for c, place in zip(zip(key.tolist(), mark.tolist(), strict=True), zip(ids.tolist(), start.tolist(), strict=True), strict=True):
+            least[c] = min(least.get(c, (99, 99)), place)
+        assert told == least
+    big = substrings.Sent()
+    key, mark = np.arange(50, dtype=np.uint64) << np.uint64(40), np.zeros(50, np.uint64)
+    assert big.fresh(key, mark, ids, start).tolist() == [*range(50)] and not len(big.fresh(key, mark, ids, start))
+    assert big.fresh(key, mark, ids, start - 1).tolist() == [*range(50)]
+    assert sum(x.nbytes for x in (big.key, big.mark, big.id, big.start)) == 8 << 20
+
+
+def test_substrings_cleaned_in_slices():
+    """A batch of long texts comes back in parts of about a megabyte of text."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(30_000)) for k in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts), pa.nulls(12, pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())])))], names=["doc_id", "text", "factors"])
+    parts = list(substrings._cleaned(20)(iter([batch])))
+    assert len(parts) > 2 and [x for b in parts for x in b.column(4).to_pylist()] == texts
+
+
 def test_blocks_over_many_batches(spark):
     text = " ".join(f"w{k % 37}" for k in range(400))
     rows = [(k, f"{text} end{k}") for k in range(40)]
