@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hornlake.operators import catalog as C
-from hornlake.operators import diversity, policy
+from hornlake.operators import diversity, policy, shapes
 from hornlake.operators.metrics import support
 from hornlake.operators.mine_levels import expand, mine, possible, report, seeds
 from hornlake.operators.mine_walks import Settings
@@ -42,6 +42,40 @@ def test_level_miner_finds_every_rule(kg):
         assert found.get(k) == (n if n / sizes[candidates[k].head.p] >= 0.2 else None)
 
 
+def files_of_shuffles(spark) -> int:
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).getName().startswith("shuffle_") for k in range(files.size()))
+
+
+def test_level_miner_leaves_no_shuffles(spark, kg):
+    kg.count()
+    before = files_of_shuffles(spark)
+    assert mine(kg, max_length=3, min_head_coverage=0.2)
+    assert files_of_shuffles(spark) <= before
+
+
+def test_open_rules_are_counted_without_pairs(spark):
+    """Against the plan that matches pairs, on a graph with loops, doubled triples, hubs and entities of one edge."""
+    rng = random.Random(11)
+    rows = [(rng.randrange(30), rng.choice("aab"), rng.randrange(30)) for _ in range(70)] + [(0, "c", k) for k in range(20)] + [(k, "c", k) for k in range(5)]
+    kg = spark.createDataFrame(rows * 2, "s long, p string, o long").cache()
+    rules = [r for r in seeds(["a", "b", "c"]) if shapes.is_open(shapes.shape_of(r)[0])]
+    found = shapes.supports(kg, rules)
+    for ends in {shapes.shape_of(r)[0] for r in rules}:
+        matched = {tuple(x)[:2]: x["support"] for x in shapes.shape_support(kg, ends).collect()}
+        assert matched and {shapes.shape_of(r)[1]: found[r] for r in rules if shapes.shape_of(r)[0] == ends and found[r]} == matched
+    kg.unpersist()
+
+
+def test_triangle_pairs_are_filtered_before_they_move(kg, monkeypatch):
+    rules = [rule("a(x,y)", "b(x,z)", "c(z,y)"), rule("b(x,y)", "a(x,z)", "c(y,z)"), rule("c(x,y)", "a(z,x)", "a(z,y)")]
+    plan = shapes.triangle_support(kg, rules, shapes.meetings(kg), set())._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan  # Spark moves a semi-join below the join with the filter
+    together = shapes.supports(kg, rules)
+    monkeypatch.setattr(shapes, "PAIRS", 0)  # each corner on its own
+    assert shapes.supports(kg, rules) == together == {r: support(kg, r).first()["support"] for r in rules}
+
+
 def test_report_and_bounds(kg):
     mined = mine(kg, max_length=2, min_head_coverage=0.05)
     rows = report(kg, mined, pca=True).collect()
