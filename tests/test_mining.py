@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hornlake.operators import catalog as C
-from hornlake.operators import diversity, policy, shapes
+from hornlake.operators import diversity, metrics, policy, shapes
 from hornlake.operators.metrics import support
 from hornlake.operators.mine_levels import expand, mine, possible, report, seeds
 from hornlake.operators.mine_walks import Settings
@@ -140,6 +140,25 @@ def test_walk_miner(kg):
     assert mine_walks(kg, Settings(budget=8, batch=4, max_length=2, features=frozenset({"Head"}), reward="Effort", all_heads=True, seed=2)).count() >= 0
 
 
+def test_bodies_in_pieces_add_up(kg, monkeypatch):
+    sizes, ways = {x["p"]: x["count"] for x in kg.groupBy("p").count().collect()}, shapes.meetings(kg)
+    monkeypatch.setattr(metrics, "MATCHINGS", 250)
+    for r in (rule("a(x,y)", "b(x,z)", "c(z,y)"), rule("b(x,y)", "a(y,x)"), rule("c(x,y)", "c(z,x)", "b(z,y)")):
+        pieces = metrics.pieces_of(r, sizes, ways)
+        assert len(pieces) == (1 if r.length == 2 else -(-round(ways[("b", "o"), ("c", "s")] if r.head.p == "a" else ways[("c", "s"), ("b", "s")]) // 250))
+        whole = metrics.judged_counts(kg, r).first().asDict()
+        parts = [metrics.judged_counts(kg, r, piece=x).first().asDict() for x in pieces]
+        assert {c: sum(x[c] for x in parts) for c in whole} == whole and whole["body"]
+        assert sum(support(kg, r, piece=x).first()["support"] for x in pieces) == whole["support"]
+
+
+def test_walk_miner_leaves_no_shuffles(spark, kg):
+    kg.count()
+    before = files_of_shuffles(spark)
+    assert mine_walks(kg, Settings(budget=8, batch=4, max_length=3, features=frozenset(), seed=1)).count()
+    assert files_of_shuffles(spark) <= before
+
+
 def test_catalog(spark):
     a, b, c = (canonical(rule(*x)) for x in (("p(x,y)", "q(x,y)"), ("q(x,y)", "p(x,y)"), ("p(x,y)", "q(y,x)")))
     cat = C.insert(C.empty(spark), C.rows(spark, [a, b, a]))
