@@ -37,14 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hornlake.llm.components import components, forest
-from hornlake.llm.shared import discard, prepare, rows_with, settled
+from hornlake.llm.shared import discard, prepare, rows_with, settings, settled
 from hornlake.llm.streams import whole_groups
-from hornlake.llm.words import SPACED, Words, mix, slices, text_arrays, words_of
+from hornlake.llm.words import SPACED, Words, mix, slices, words_of
 
 HASHES = 64
 BLOCK = 2048
 #: Documents and bytes of text in a block of a family; columns of a product.
 FAMILY, FAMILY_BYTES, COLUMNS = 768, 4 << 20, 8192
+#: Bytes of text that are cut into words at once, bytes of a batch of rows, and documents in a task that makes keys.
+SLICE, BATCH, DEALT = 1 << 18, 4 << 20, 8192
 
 _RNG = np.random.default_rng(77)
 _MUL = (_RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -85,7 +87,7 @@ def signature(items: np.ndarray) -> np.ndarray:
 
 def _sketched(n: int):
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             counts, one, two, signs = [], [], [], []
             for items in shingle_sets(words_of(part, "text", SPACED, lower=True), n):
                 counts.append(len(items))
@@ -226,7 +228,8 @@ def _families(n: int, percent: int, distance: int):
                 pairs = list(_across(np.arange(b - a), comp, side[a:b], signs[a:b], lo[a] == hi[a], distance))
                 i, j = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
                 if len(i):
-                    sets = list(shingle_sets(Words(*text_arrays(rows.column(7).slice(a, b - a).combine_chunks()), SPACED, lower=True), n))
+                    parts = slices(iter(rows.slice(a, b - a).to_batches()), "text", SLICE)
+                    sets = [items for part in parts for items in shingle_sets(words_of(part, "text", SPACED, lower=True), n)]
                     i, j = _similar(sets, i, j, comp, percent)
                     out.append((own[i], own[j]))
             x, y = forest(*(np.concatenate([p[k] for p in out]) for k in (0, 1)))
@@ -239,7 +242,7 @@ def _confirmed(n: int, percent: int):
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of pairs (a, b, text_a, text_b) those whose full sets are similar enough."""
         for whole in batches:
-            for part in slices(iter([whole]), "text_a"):
+            for part in slices(iter([whole]), "text_a", SLICE):
                 keep, last, set_b = [], None, None
                 for i, set_a in enumerate(shingle_sets(words_of(part, "text_a", SPACED, lower=True), n)):
                     text = part.column(3)[i].as_py()
@@ -269,6 +272,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Links join documents whose sets' similarity is at least `percent` / 100.  Ids are of an integer type (another one is refused).
     """
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH)):
+        return _near_duplicates(docs, id_col, text_col, shingle, percent)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     prepare(docs.sparkSession)
     distance = allowed(percent)
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
@@ -280,8 +288,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = settled(classes.select("h1", "h2", "n", F.col("top.id").alias("least"), F.col("top.row").alias("rep"), "sig"), "classes")
     signs = classes.select(F.col("rep").alias("id"), "least", "sig")
     docs = docs.select(F.col("row").alias("id"), "text")
+    tasks = max(1, math.ceil(classes.count() / DEALT))  # hardly a key comes twice in a task, so its sums grow with its keys
 
-    keys = signs.mapInArrow(_keys(distance), "key long, id long, least long")
+    keys = signs.repartition(tasks).mapInArrow(_keys(distance), "key long, id long, least long")
     center = keys.groupBy("key").agg(F.min_by("id", "least").alias("c"), F.count("*").alias("n")).filter("n > 1").select("key", "c")
     star = keys.join(center, "key").filter("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")).distinct()
     sig_a, sig_b = (signs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
@@ -290,7 +299,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comps = components(first)
 
     signed = settled(signs.join(comps, signs["id"] == comps["node"], "left").select("id", F.coalesce("component", "id").alias("c"), "sig"), "signed")
-    keys = signed.mapInArrow(_keys(distance), "key long, id long, c long")
+    keys = signed.repartition(tasks).mapInArrow(_keys(distance), "key long, id long, c long")
     mixed = keys.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 < c1")
     mixed = settled(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
     members = keys.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))

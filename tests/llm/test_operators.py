@@ -777,6 +777,50 @@ def test_every_signature_within_the_distance_shares_a_key():
         assert all(keys[0][i] & keys[1][i] for i in range(50))
 
 
+def test_keys_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    inner = minhash._keys
+
+    def keys(distance):
+        def bounded(batches):
+            rows = 0
+            for batch in batches:
+                rows += batch.num_rows
+                if rows > 200:
+                    raise ValueError("more than 200 documents in a task")
+                yield from inner(distance)(iter([batch]))
+
+        return bounded
+
+    monkeypatch.setattr(minhash, "_keys", keys)
+    monkeypatch.setattr(minhash, "DEALT", 100, raising=False)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(1200)]
+    found = minhash.near_duplicates(table(spark, [*texts, texts[7]]), percent=85).collect()
+    assert len(found) == 1201 and sum(not r["kept"] for r in found) == 1
+
+
+def test_families_cut_texts_into_words_by_pieces():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = [" ".join([*base[:k], "x", *base[k:]]) for k in range(0, 1500, 5)]
+    n = len(texts)
+    sig = np.zeros((1, minhash.HASHES), np.uint16).tobytes()
+    numbers = [pa.array(np.zeros(n, np.int64))] * 4 + [pa.array(np.arange(n))] * 2
+    unit = pa.RecordBatch.from_arrays([*numbers, pa.array([sig] * n, pa.binary()), pa.array(texts)], names=["fam", "lo", "hi", "side", "id", "c", "sig", "text"])
+    tracemalloc.start()
+    try:
+        links = [out.num_rows for out in minhash._families(5, 85, 30)(iter([unit]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 3e6 and sum(links) == n - 1
+    assert peak < 100e6
+
+
 def test_products_and_single_comparisons_agree():
     rng = random.Random(1)
     sets = [np.unique(np.array([rng.randrange(60) for _ in range(40)], dtype=np.uint64)) for _ in range(60)]
