@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from hornlake.llm import language_id, pii, source_mix
 from hornlake.llm.decontaminate import contamination
 from hornlake.llm.minhash import near_duplicates
-from hornlake.llm.shared import settled, table
+from hornlake.llm.shared import settled, small_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; learns from the labelled ones that are not held out."""
+    small_batches(spark)
     dictionaries = language_id.fit_dictionaries(docs, ~language_id.held_out())
     return language_id.identify(docs, dictionaries).filter(~F.col("rejected")).select(*docs.columns)
 
@@ -27,6 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows without an id stay; of rows equal in id and text one does.
     """
+    small_batches(spark)
     found = near_duplicates(docs, percent=80).filter("kept and doc_id is not null")
     kept = found.select("doc_id", F.col("text_hash").alias("kept_hash")).distinct()
     same = (docs["doc_id"] == kept["doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(kept["kept_hash"])
@@ -36,11 +38,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
+    small_batches(spark)
     return contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit = 0").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the text."""
+    small_batches(spark)
     clean = pii.find_pii(docs, pii.fit(docs), redact=True).drop("spans")
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hornlake.llm.shared import prepare, unused
-from hornlake.llm.words import ALNUM, Words, slices, text_arrays, words_of
+from hornlake.llm.words import ALNUM, SLICE, Words, slices, text_arrays, words_of
 
 SHINGLE = 3
 
@@ -85,7 +85,7 @@ def rarity(texts: DataFrame, shingles: dict[int, np.ndarray]) -> dict[int, np.nd
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {n: np.zeros(len(keys), np.int64) for n, (keys, *_) in broadcast.value.items()}
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             w = words_of(part, "text", ALNUM, lower=True)
             for n, (keys, seen, shift) in broadcast.value.items():
                 total[n] += np.bincount(_occurrences(w, n, keys, seen, shift)[1], minlength=len(keys))
@@ -156,7 +156,7 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = broadcast.value
-        for part in slices(batches, names[at_text]):
+        for part in slices(batches, names[at_text], SLICE):
             w = words_of(part, names[at_text], ALNUM, lower=True)
             start, window = index.matches(w)
             columns = list(part.columns)

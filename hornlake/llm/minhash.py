@@ -37,16 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hornlake.llm.components import components, forest
-from hornlake.llm.shared import discard, prepare, rows_with, settings, settled
+from hornlake.llm.shared import BATCH, discard, prepare, rows_with, settings, settled
 from hornlake.llm.streams import whole_groups
-from hornlake.llm.words import SPACED, Words, mix, slices, words_of
+from hornlake.llm.words import SLICE, SPACED, Words, mix, slices, words_of
 
 HASHES = 64
 BLOCK = 2048
 #: Documents and bytes of text in a block of a family; columns of a product.
 FAMILY, FAMILY_BYTES, COLUMNS = 768, 4 << 20, 8192
-#: Bytes of text that are cut into words at once, bytes of a batch of rows, and documents in a task that makes keys.
-SLICE, BATCH, DEALT = 1 << 18, 4 << 20, 8192
+#: Documents in a task that makes keys.
+DEALT = 8192
 
 _RNG = np.random.default_rng(77)
 _MUL = (_RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]

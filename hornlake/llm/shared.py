@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+#: Bytes of a batch of rows that goes to Python.
+BATCH = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -29,6 +31,16 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, known]))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of BATCH bytes for Python from now on, unless the session has a size of its own.
+
+    The setting stays: a frame that an operator returns is run later, and takes the size that holds then.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text that are cut into words at once where memory is short: numpy takes some hundred bytes for each.
+SLICE = 1 << 18
+
 _WHITE = [0x20, *range(0x09, 0x0E)]
 #: separators[byte]: runs of anything but white space; runs of letters, digits and bytes from 0x80 on.
 SPACED = np.isin(np.arange(256), _WHITE)

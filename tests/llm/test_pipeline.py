@@ -44,6 +44,20 @@ def test_language_stage(spark, stages):
     assert set(stages[1].doc_id) == kept and len(kept) > 0.95 * len(stages[0])
 
 
+def test_stages_ask_for_small_batches(spark):
+    """Also for frames that are run after the stage has returned; a size that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_contaminated):
+        spark.conf.unset(key)
+        stage(spark, docs, SF)
+        assert spark.conf.get(key) == str(4 << 20)
+    spark.conf.set(key, "1000000")
+    corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert spark.conf.get(key) == "1000000"
+    spark.conf.unset(key)
+
+
 def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(1, text), (2, text + " more"), (2, "quite another text that has words of its own"), (3, None), (None, text), (4, text), (5, ""), (5, "")]
