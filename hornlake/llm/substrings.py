@@ -39,8 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hornlake.llm.shared import Marks, discard, marks, prepare, settled
-from hornlake.llm.words import SPACED, Words, mix, slices, spans_hash, words_of
+from hornlake.llm.shared import Marks, discard, marks, prepare, settled, small_batches
+from hornlake.llm.words import SLICE, SPACED, Words, mix, slices, spans_hash, words_of
 
 _LAST = 2**63 - 1
 #: Windows that a task remembers to have sent.
@@ -111,7 +111,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _anchors(size: int, anchor: int):
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             found, n = np.unique(Segments(words_of(part, "text", SPACED, lower=False), size, anchor).key, return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(found), pa.array(n)], names=["key", "n"])
 
@@ -122,7 +122,7 @@ def _members(size: int, anchor: int, filtered):
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, h, text) -> the segments that may have a match."""
         keep = filtered.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             s = Segments(words_of(part, "text", SPACED, lower=False), size, anchor)
             at = np.flatnonzero(keep.has(s.key))
             text = s.text[at]
@@ -159,7 +159,7 @@ def _classes(size: int, anchor: int, filtered):
         """(id, h, text) -> segments that may have a match, with their words; a copy only if it is earlier than one sent."""
         keep = filtered.value
         sent = Sent()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             s = Segments(words_of(part, "text", SPACED, lower=False), size, anchor)
             at = np.flatnonzero(keep.has(s.key))
             ids = part.column(0).to_numpy()[s.text[at]]
@@ -407,7 +407,7 @@ def _touched(filtered, wanted: bool):
 def _cleaned(size: int):
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, text, factors -> the words that stay."""
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             out = []
             for text, factors in zip(batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode().split()
@@ -428,6 +428,15 @@ def _cleaned(size: int):
     return cleaned
 
 
+def _untouched(size: int, filtered):
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, text, hash -> the words of rows that can have no factors: told apart and cleaned by one worker."""
+        rows = _touched(filtered, False)(batches)
+        return _cleaned(size)(pa.RecordBatch.from_arrays([*b.columns[:2], pa.nulls(b.num_rows)], names=["doc_id", "text", "factors"]) for b in rows)
+
+    return untouched
+
+
 def duplicate_spans(texts: DataFrame, *, size: int, anchor: int, block_segments: int) -> DataFrame:
     """(id, h, text) -> (id, h, start, n): n windows from word `start` on also start earlier.  Spans may overlap."""
     spark = texts.sparkSession
@@ -461,14 +470,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise TypeError(f"{id_col} must be of an integer type")
     spark = docs.sparkSession
     prepare(spark)
+    small_batches(spark)
     texts = docs.filter(F.col(text_col).isNotNull()).select(*_identity(id_col, text_col), F.col(text_col).alias("text"))
     factors = duplicate_spans(texts, size=size, anchor=anchor, block_segments=block_segments)
     per_doc = factors.groupBy("id", "h").agg(F.collect_list(F.struct("start", "n")).alias("factors"))
     touched = spark.sparkContext.broadcast(marks(factors.select(F.xxhash64("id", "h").alias("ih")), "ih"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *_identity(id_col, text_col)).withColumn("ih", F.xxhash64("id", "h"))
-    with_any, without = (rows.mapInArrow(_touched(touched, x), rows.schema) for x in (True, False))
-    joined = with_any.join(per_doc, ["id", "h"], "left").select("doc_id", "text", "factors")
-    plain = without.select("doc_id", "text", F.lit(None).cast(joined.schema["factors"].dataType).alias("factors"))
+    joined = rows.mapInArrow(_touched(touched, True), rows.schema).join(per_doc, ["id", "h"], "left").select("doc_id", "text", "factors")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.union(plain).mapInArrow(_cleaned(size), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    cleaned = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string"
+    out = joined.mapInArrow(_cleaned(size), cleaned).union(rows.select("doc_id", "text", "ih").mapInArrow(_untouched(size, touched), cleaned))
     return out.withColumnRenamed("doc_id", id_col)

@@ -681,6 +681,59 @@ def test_substrings_cleaned_in_slices():
     assert len(parts) > 2 and [x for b in parts for x in b.column(4).to_pylist()] == texts
 
 
+def python_below_python(node, above=False) -> bool:
+    """Whether a plan has two Python functions on one another with neither a join nor an exchange between."""
+    here = node.nodeName() == "MapInArrow"
+    if here and above:
+        return True
+    above = (above and node.nodeName() != "Join") or here
+    return any(python_below_python(node.children().apply(k), above) for k in range(node.children().size()))
+
+
+def test_substrings_take_one_worker_a_task(spark):
+    """Two functions of one task hold a worker each until they are idle for long."""
+    out = substrings.remove_repeats(table(spark, ["a b c", None]))
+    assert not python_below_python(out._jdf.queryExecution().optimizedPlan())
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+
+
+def peak_of(run) -> float:
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_are_cut_into_words_by_pieces():
+    """Workers of substrings and decontamination over a batch of 3 MB."""
+    from types import SimpleNamespace as Some
+
+    from hornlake.llm.words import _powers
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), pa.array(texts)], names=["id", "h", "text"])
+    every = Some(value=Some(has=lambda x: np.ones(len(x), bool)))
+    runs = [substrings._anchors(20, 8), substrings._members(20, 8, every), substrings._classes(20, 8, every)]
+    context = Some(sparkContext=Some(broadcast=lambda x: Some(value=x)))
+    windows = decontaminate.Windows(["i"], [texts[5]], 10)
+    keys = {3: np.unique(np.concatenate([h for n, _, h in windows.shingles() if n == 3]))}
+    docs = Some(sparkSession=context, columns=["text", "n", "spans", "items"], schema=None, mapInArrow=lambda f, _: f)
+    tables = [batch] * 3
+    spans = pa.array([[]] * 1000, decontaminate._SPANS)
+    tables.append(pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.zeros(1000, np.int64)), spans, pa.array([[]] * 1000, pa.list_(pa.string()))], names=docs.columns))
+    runs.append(decontaminate._pass(docs, decontaminate.Index(windows, keys, {3: np.ones(len(keys[3]), np.int64)})))
+    for run, rows in zip(runs, tables, strict=True):
+        _powers.cache_clear()
+        assert peak_of(lambda run=run, rows=rows: [None for _ in run(iter([rows]))]) < 40e6
+    hit = [k for b in runs[-1](iter([tables[-1]])) for k in b.column(3).to_pylist()]
+    assert [k for k, items in enumerate(hit) if items] == [5]
+
+
 def test_blocks_over_many_batches(spark):
     text = " ".join(f"w{k % 37}" for k in range(400))
     rows = [(k, f"{text} end{k}") for k in range(40)]
