@@ -152,6 +152,64 @@ def test_bodies_in_pieces_add_up(kg, monkeypatch):
         assert sum(support(kg, r, piece=x).first()["support"] for x in pieces) == whole["support"]
 
 
+@pytest.mark.parametrize("way", ["matched", "in pieces", "from pairs of values"])
+def test_triangles_are_judged_without_all_matchings(spark, monkeypatch, way):
+    """Against the plan that judges every matching: on hubs, loops of heads, and ends with one or two other head pairs."""
+    rng = random.Random(8)
+    rows = {(rng.randrange(14), rng.choice("abc"), rng.randrange(14)) for _ in range(150)} | {(k, "a", k) for k in range(5)} | {(k, "d", (k * 5) % 14) for k in range(14)} | {(k, "e", 0) for k in range(14)}
+    kg = spark.createDataFrame(sorted(rows), "s long, p string, o long").cache()
+    if way != "matched":
+        monkeypatch.setattr(metrics, "MATCHINGS", 0)
+        monkeypatch.setattr(metrics, "ROWS", 200)
+        monkeypatch.setattr(metrics, "FEWER", 0 if way == "from pairs of values" else 10**9)
+    rules = [rule(f"{p}(x,y)", f"{q}(x,z)", f"{t}(z,y)") for p, q, t in ("abc", "dab", "ade")]
+    rules += [rule("d(x,y)", "b(z,x)", "b(z,y)"), rule("a(x,y)", "b(z,x)", "a(y,z)"), rule("e(x,y)", "a(x,z)", "a(y,z)")]
+    meets = shapes.met(kg, rules)
+    assert shapes.ways_of(meets).items() <= shapes.ways_of(shapes.met(kg)).items()
+    ways, counted, loops = shapes.ways_of(meets), shapes.supports(kg, rules, meets), shapes.looped_heads(kg)
+    for r in rules:
+        assert metrics.is_triangle(r)
+        assert metrics.triangle_counts(kg, r, counted[r], ways, loops) == metrics.judged_counts(kg, r).first().asDict()
+    kg.unpersist()
+
+
+def test_triangle_supports_start_where_fewest_meet(kg, monkeypatch):
+    sizes = {x["p"]: x["count"] for x in kg.groupBy("p").count().collect()}
+    rules = [rule("a(x,y)", "b(x,z)", "c(z,y)"), rule("b(x,y)", "c(z,x)", "c(z,y)"), rule("c(x,y)", "a(y,x)"), rule("a(x,y)", "a(z,x)", "b(y,z)")]
+    ways = shapes.ways_of(shapes.met(kg, rules))
+    monkeypatch.setattr(metrics, "MATCHINGS", 800)
+    for r in rules:
+        for few in (*r.body, None):  # each variable in turn is where the fewest meet
+            own = {k: n / 10 if few and r.length == 3 and {k[0][0], k[1][0]} == {r.head.p, few.p} else n for k, n in ways.items()}
+            jobs = metrics.support_jobs(r, sizes, own)
+            assert sum(support(kg, r, **job).first()["support"] for job in jobs) == support(kg, r).first()["support"]
+            assert few is None or r.length == 2 or r.head.p in r.body_predicates or "first" in jobs[0]
+    assert not metrics.is_triangle(rules[2])
+
+
+def test_entities_are_drawn_as_from_the_shuffled_list(kg):
+    from hornlake.functions.stats import entities_of, entity_words
+    from hornlake.operators.sampling import at_places, shuffled
+
+    more = kg.union(kg.selectExpr("-s * 1000003", "p", "o + 9000000000", "split"))
+    words = entity_words(more)
+    for side in "so":
+        values = more.select(F.col(side).alias("value")).distinct()
+        assert sorted(entities_of(words, side).collect()) == sorted(values.collect())
+        listed = {r["idx"]: r["value"] for r in shuffled(values, ["value"], 4).collect()}
+        assert at_places(entities_of(words, side), 4, lambda n: range(0, n, 3)) == (len(listed), {k: listed[k] for k in range(0, len(listed), 3)})
+    assert at_places(values.limit(0), 4, lambda n: []) == (0, {})
+
+
+def test_lifted_triples_are_the_same_in_blocks(spark):
+    from hornlake.sources.lift import lift
+
+    plain, blocks = (lift(spark, "/root/testdata/sf0.001", blocks=b) for b in (False, True))
+    assert plain.schema == blocks.schema and sorted(plain.collect()) == sorted(blocks.collect())
+    settings = Settings(budget=12, batch=6, max_length=3, features=frozenset(), seed=5)
+    assert sorted(mine_walks(plain, settings).collect()) == sorted(mine_walks(blocks, settings, distinct=True).collect())
+
+
 def test_walk_miner_leaves_no_shuffles(spark, kg):
     kg.count()
     before = files_of_shuffles(spark)
